@@ -134,13 +134,14 @@ def spaced_units(col: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray,
     return units.dictionary, np.asarray(units.indices), np.cumsum(counts)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", size: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of about size bytes of the column (whole rows; none if it has none)."""
     n = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     part = (np.cumsum(n) - n) // size
     at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(n)]]) if len(n) else [0]
     for a, b in zip(at[:-1], at[1:]):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import hash_u63, spaced_units, text_or_empty, without
+from textlake.llm.common import hash_u63, slices, spaced_units, text_or_empty
 
 ORDER = 5
 UNKNOWN = "und"
@@ -214,6 +214,11 @@ def decide(model: Model, col: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarra
     return {"lang": names[np.where(ok, best, len(model.languages))], "bits_per_char": low, "margin": margin, "deviation": z, "ok": ok}
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield from slices(b, size=8_000_000)
+
+
 def train(docs: DataFrame, label: str = "lang", max_docs: int = 400, max_held_out: int = 200, seed: int = 7) -> Model | None:
     """Fit on at most max_docs labelled texts of each language, calibrate on max_held_out others.
 
@@ -243,7 +248,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             if shared.value is None:
                 none = pa.nulls(len(b), pa.float64())
                 yield pa.record_batch([b.column("doc_id"), pa.array([UNKNOWN] * len(b)), none, none, none], ["doc_id", "lang", "bits_per_char", "margin", "deviation"])
@@ -262,7 +267,7 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             if shared.value is None:
                 yield b.slice(0, 0)
                 continue

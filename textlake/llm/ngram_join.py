@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -142,11 +141,11 @@ def _described(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, words bigint, size bigint, bands array<bigint>")
 
 
-def _verify(texts: list[str], words: np.ndarray, left: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verify(texts: pa.Array, words: np.ndarray, left: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, jaccard) of the pairs i < j that reach the threshold; where left is both True and
     False, only of pairs between the two sides. Texts whose words are not those in words, or that
     repeat an earlier one, are passed over."""
-    g, off, found = grams(pa.array(texts, pa.large_string()), n)
+    g, off, found = grams(texts, n)
     own = np.flatnonzero(found.astype(np.int64) == words)
     real = np.zeros(len(texts), bool)
     real[own[np.unique(words[own], return_index=True)[1]]] = True
@@ -204,34 +203,38 @@ def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     meets = meets.select("doc_id", "words", "component", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     sent = kept.join(cut(meets), "doc_id").repartition(partitions_for(docs), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "words", "doc_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None  # rows of a group that may go on in the next frame
-        for f in frames:
-            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-            key = f[["component", "lo", "hi"]].to_numpy()
-            change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            if len(change):
-                yield solve(f.iloc[: change[-1]])
-                f = f.iloc[change[-1] :]
-            rest = f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of a group that may go on in the next batch
+        for whole in batches:
+            for f in slices(whole, size=8_000_000):
+                f = f if rest is None else pa.concat_batches([rest, f])
+                key = keys(f)
+                change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+                if len(change):
+                    yield solve(f.slice(0, change[-1]))
+                    f = f.slice(change[-1])
+                rest = f
         if rest is not None and len(rest):
             yield solve(rest)
 
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        key = f[["component", "lo", "hi"]].to_numpy()
+    def keys(f: pa.RecordBatch) -> np.ndarray:
+        return np.stack([np.asarray(f.column(c), np.int64) for c in ("component", "lo", "hi")], 1)
+
+    def solve(f: pa.RecordBatch) -> pa.RecordBatch:
+        key = keys(f)
         at = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(f)]])
-        words, tile, text = f["words"].to_numpy(), f["tile"].to_numpy(), f["text"].to_numpy()
+        words, tile, text = np.asarray(f.column("words")), np.asarray(f.column("tile")), f.column("text")
         out = []
         for a, b in zip(at[:-1], at[1:]):
             left = tile[a:b] == key[a, 1] if key[a, 1] != key[a, 2] else np.ones(b - a, bool)
             # a doc_id that stands on several texts brings all of them, and repeated rows come repeatedly
-            i, j, jac = _verify(list(text[a:b]), words[a:b], left, n, threshold)
+            i, j, jac = _verify(text.slice(a, b - a), words[a:b], left, n, threshold)
             out.append((words[a:b][i], words[a:b][j], jac))
         x, y, z = (np.concatenate([o[k] for o in out]) for k in range(3))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "jaccard": z})
+        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(z)], ["a", "b", "jaccard"])
 
     # tiles that meet themselves and others find a pair once, in the task of its two tiles
-    return members, cut(sent.mapInPandas(run, "a bigint, b bigint, jaccard double"))
+    return members, cut(sent.mapInArrow(run, "a bigint, b bigint, jaccard double"))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -25,6 +25,7 @@ from textlake.llm.common import TOKENIZER_DIR, flat_utf8, slices, spaced_units,
 
 MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
 _CHUNK = 1 << 18  # characters in one suffix array
+_DECODE = 500_000  # ids decoded at once
 _LONG = 64  # a run of more characters is merged with a heap
 _SPACE = "▁"
 _NONE = np.int64(1 << 62)
@@ -237,6 +238,13 @@ def encode(col: pa.Array | pa.ChunkedArray, p: Pieces) -> tuple[np.ndarray, np.n
 
 def decode(ids: np.ndarray, off: np.ndarray, p: Pieces) -> pa.Array:
     """Texts of the id lists; ids that are no piece's, and control pieces, give nothing."""
+    if len(ids) > _DECODE and len(off) > 2:  # in parts, as the indices take 20 times the text's memory
+        parts, a = [], 0
+        while a < len(off) - 1:
+            b = max(a + 1, int(np.searchsorted(off, off[a] + _DECODE, "right")) - 1)
+            parts.append(decode(ids[off[a] : off[b]], off[a : b + 1] - off[a], p))
+            a = b
+        return pa.concat_arrays(parts)
     bad = (ids < 0) | (ids >= p.size)
     i = np.where(bad, 1, ids)
     n = np.where(bad, 0, np.diff(p.raw_at)[i])
@@ -276,7 +284,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, size=6_000_000):
                 ids, off = encode(b.column("text"), p)
                 out = decode(ids, off, p)
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off), pa.int32()), _lists(ids, off), out.cast(pa.string())], ["doc_id", "n_pieces", "ids", "decoded"])
