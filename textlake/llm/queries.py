@@ -6,30 +6,79 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textlake.llm import langid, mixing, ngram_join, sentencepiece_sa
+from textlake.llm import chat, fingerprints, langid, mixing, near_vectors, ngram_join, packing, sentencepiece_sa, sharding, url_templates
 from textlake.llm.common import load
 
 #: Twice the weight for the largest source, one for each other.
 SOURCE_WEIGHTS = {"src0": 2.0}
 
+#: Three regions of unlike capacity; the weights are those of the shards.
+SHARD_TREE: sharding.Tree = {
+    "east": {"r1": {"s1": 4.0, "s2": 4.0, "s3": 2.0}, "r2": {"s1": 4.0, "s2": 4.0}},
+    "west": {"r1": {"s1": 8.0, "s2": 8.0}, "r2": {"s1": 4.0, "s2": 2.0, "s3": 2.0}, "r3": {"s1": 3.0}},
+    "north": {"r1": {"s1": 2.0, "s2": 1.0}},
+}
+
+
+def op1_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"))
+
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
 
 
+def op3_embedding_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_pairs(load(spark, sf_dir, "embeddings"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_sa.encode_documents(load(spark, sf_dir, "documents"))
 
 
+def op5_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(load(spark, sf_dir, "conversations"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.filter_urls(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compact(load(spark, sf_dir, "documents"))
+
+
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(load(spark, sf_dir, "documents"), SHARD_TREE)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(load(spark, sf_dir, "documents"))
 
 
+OP3_SQL = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v)
+SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_inner_product(a.x, b.x) / (a.n * b.n), 9) AS cosine
+FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= {near_vectors.THRESHOLD}
+"""
+
+OP8_SQL = """
+WITH p AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT r, doc_id, x, list_transform(x, lambda s: sha256('P' || s)) AS leaf, len(x) AS n FROM p),
+e AS (SELECT *, list_filter(range(1, n + 1), lambda i: i = n OR trim(x[i], ' ') = '' OR leaf[i][1:1] = '0') AS ends FROM l),
+s AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda k: sha256('S' || array_to_string(leaf[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END : ends[k]], ''))) AS sections FROM e)
+SELECT doc_id, sha256('R' || array_to_string(sections, '')) AS root, len(sections)::INT AS n_sections, n::INT AS n_paragraphs, sections,
+  min(doc_id) OVER (PARTITION BY sha256('R' || array_to_string(sections, ''))) AS same_as FROM s
+"""
+
+OP9_SQL = sharding.assign_sql(SHARD_TREE, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
+
 OP10_SQL = f"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-/:-@\\[-`{{-\\x7f]+'), lambda x: x <> '') AS w FROM documents
@@ -46,6 +95,10 @@ WHERE k / (x.n + y.n - k)::DOUBLE >= {ngram_join.THRESHOLD}
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op4_sentencepiece, op7_language_id, op10_ngram_jaccard_join)
-}
-ORACLE_SQL: dict[str, str] = {"op10_ngram_jaccard_join": OP10_SQL}
+    f.__name__: f
+    for f in (
+        op1_packed_tokens, op2_mix_sources, op3_embedding_near_pairs, op4_sentencepiece, op5_chat_tokens,
+        op6_url_filter, op7_language_id, op8_document_fingerprints, op9_shards, op10_ngram_jaccard_join,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op3_embedding_near_pairs": OP3_SQL, "op8_document_fingerprints": OP8_SQL, "op9_shards": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
