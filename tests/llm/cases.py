@@ -1,0 +1,49 @@
+"""Small tables with everything that can be odd about one."""
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def prose(seed: int, words: int, stock: int = 400) -> str:
+    r = random.Random(seed)
+    made = random.Random(99)
+    lexicon = ["".join(made.choice(["ta", "ri", "ono", "esh", "mul", "ka", "é", "ßo", "ndo"]) for _ in range(made.randint(1, 4))) for _ in range(stock)]
+    out = [r.choice(lexicon) for _ in range(words)]
+    for k in range(9, words, 10):
+        out[k] += ".\n" if k % 20 == 9 else "."
+    return " ".join(out)
+
+
+def odd_rows() -> list[tuple]:
+    long = prose(1, 30_000)
+    return [
+        (1, prose(2, 80), "en", "a", 1),
+        (2, prose(2, 80), "en", "a", 1),  # a copy
+        (2, prose(2, 80), "en", "a", 1),  # a repeated row
+        (3, "", "en", "a", 0),
+        (4, None, "fr", None, None),
+        (5, long, "de", "b", len(long)),
+        (6, "x", None, "b", 1),
+        (None, prose(3, 60), "en", "c", 1),
+        (None, None, None, None, None),
+        (7, " \n\t ", "en", "", 4),
+        (8, "Ünïcode ▁ \U0001f600 नमस्ते 　 #### 12345", "es", "a", 5),
+        (8, prose(4, 50), "es", "a", 5),  # the same id on another text
+        (9, "z" * 5000, "en", "a", 5000),
+    ]
+
+
+def odd(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df: DataFrame, *columns: str) -> list[tuple]:
+    """The rows as tuples, sorted by their text form."""
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
