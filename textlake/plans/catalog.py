@@ -1,10 +1,531 @@
-"""Registry of the queries outside the llm subpackage."""
+"""Registry of the queries outside the llm subpackage, each with its SQL.
+
+Every query runs over its whole tables. The driver's texts are European prose, so rules that look for
+Devanagari or question marks get other classes and marks here; their defaults are in the operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textlake.functions import chunks, clean, html, urls
+from textlake.functions.pytext import COLLAPSE, DIGIT, contains_any_sql, literal, strip, strip_sql, words_sql
+from textlake.operators import dedup, ir, passages, profile, retrieval, rules
+from textlake.operators.model_calls import as_messages, generated_pairs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- cleaning and counting -----------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {clean.PASSAGE.sql('text')} AS cleaned FROM documents")
+def clean_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_passage("text").alias("cleaned"))
+
+
+@query(f"SELECT doc_id, {COLLAPSE.sql('text')} AS cleaned, {clean.normalise_question_sql('text')} AS normalised FROM documents")
+def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_pair_text("text").alias("cleaned"), clean.normalise_question("text").alias("normalised"))
+
+
+@query(f"SELECT doc_id, {clean.EXTRACTED.sql('text')} AS cleaned FROM documents")
+def clean_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_extracted("text").alias("cleaned"))
+
+
+@query(f"SELECT doc_id, len({words_sql('text')})::INT AS word_count, length(text)::INT AS char_count FROM documents")
+def word_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.recount(table(spark, sf_dir, "documents"), "text").select("doc_id", "word_count", "char_count")
+
+
+@query(f"SELECT doc_id, length(text)::INT AS char_count FROM documents WHERE length(text) >= 100 AND len({words_sql('text')}) >= 40")
+def length_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = passages.recount(table(spark, sf_dir, "documents"), "text")
+    return docs.where((F.col("char_count") >= passages.LEAST_CHARS) & (F.col("word_count") >= passages.LEAST_WORDS)).select("doc_id", "char_count")
+
+
+@query(f"SELECT doc_id, length(text)::INT AS char_count, substr(text, 1, 1000) AS opening FROM documents WHERE len({words_sql('text')}) > 400")
+def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = passages.recount(table(spark, sf_dir, "documents"), "text").where("word_count > 400")
+    return docs.select("doc_id", "char_count", F.substring("text", 1, 1000).alias("opening"))
+
+
+@query(f"SELECT doc_id, {clean.strip_intro_sql('text', ('the', 'and'), '[A-Za-z]+', '[a-z]+')} AS stripped FROM documents")
+def intro_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean.strip_intro("text", ("the", "and"), "[A-Za-z]+", "[a-z]+").alias("stripped"))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER ({clean.PASSAGE.sql('text')} IS DISTINCT FROM {strip_sql('text')}) AS n_changed FROM documents")
+def cleaner_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.changed(table(spark, sf_dir, "documents"), strip("text"), clean.clean_passage("text"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_valid(props) THEN json_array_length(json_keys(props)::JSON) END::INT AS n_keys FROM events")
+def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).alias("n_keys"))
+
+
+# --- sentences and chunks ------------------------------------------------------------------------
+
+
+def _listed(e: str) -> str:
+    return f"WITH s AS (SELECT doc_id, {e} AS s FROM documents), n AS (SELECT doc_id, s, unnest(range(len(s))) AS i FROM s) SELECT doc_id, i::INT AS place, s[i + 1] AS sentence FROM n"
+
+
+def _exploded(spark: SparkSession, sf_dir: str, f: Callable) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(f("text")).alias("place", "sentence"))
+
+
+@query(_listed(chunks.sentences_a_sql("text")))
+def sentence_split_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir, chunks.sentences_a)
+
+
+@query(_listed(chunks.sentences_b_sql("text")))
+def sentence_split_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir, chunks.sentences_b)
+
+
+@query(_listed(chunks.sentences_c_sql("text")))
+def sentence_split_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(spark, sf_dir, chunks.sentences_c)
+
+
+_CHUNKS = f"""
+WITH s AS (SELECT doc_id, {chunks.sentences_a_sql('t')} AS s FROM (SELECT doc_id, {COLLAPSE.sql('text')} AS t FROM documents) WHERE length(t) >= 100),
+c AS (SELECT doc_id, list_filter({chunks.chunk_words_sql('s')}, lambda c: length(c) > 80) AS c FROM s),
+n AS (SELECT doc_id, c, unnest(range(len(c))) AS i FROM c),
+made AS (SELECT doc_id, doc_id || '_chunk_' || i AS chunk_id, i::INT AS chunk_index, c[i + 1] AS chunk_text, len({words_sql('c[i + 1]')})::INT AS word_count, length(c[i + 1])::INT AS char_count FROM n)
+"""
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_pair_text("text").alias("text"))
+
+
+@query(_CHUNKS + "SELECT doc_id, chunk_id, chunk_index, chunk_text, word_count, char_count FROM (SELECT *, row_number() OVER (PARTITION BY chunk_text ORDER BY doc_id, chunk_index) AS r FROM made) WHERE r = 1 AND word_count >= 40")
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_prepared(spark, sf_dir), "text", "doc_id").select("doc_id", "chunk_id", "chunk_index", "chunk_text", "word_count", "char_count")
+
+
+_RECHUNK = f"""
+WITH d AS (SELECT doc_id, text, len({words_sql('text')}) AS w, {chunks.sentences_b_sql('text')} AS s FROM documents),
+c AS (SELECT doc_id, w, CASE WHEN w > 400 THEN list_filter({chunks.chunk_words_sql('s')}, lambda c: len({words_sql('c')}) >= 40) ELSE [text] END AS c FROM d),
+n AS (SELECT *, unnest(range(len(c))) AS i FROM c)
+SELECT CASE WHEN w > 400 THEN 'd' || doc_id || '_fix' || i ELSE 'd' || doc_id END AS chunk_id, c[i + 1] AS chunk_text, len({words_sql('c[i + 1]')})::INT AS word_count, length(c[i + 1])::INT AS char_count FROM n
+"""
+
+
+@query(_RECHUNK)
+def rechunk_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"))
+    return passages.rechunk_large(passages.recount(docs)).select("chunk_id", "chunk_text", "word_count", "char_count")
+
+
+@query(f"WITH s AS (SELECT doc_id, {chunks.sentences_c_sql('text')} AS s FROM documents), c AS (SELECT doc_id, {chunks.chunk_chars_sql('s')} AS c FROM s), n AS (SELECT *, unnest(range(len(c))) AS i FROM c) SELECT doc_id, i::INT AS chunk_no, c[i + 1] AS chunk FROM n")
+def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.page_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# --- duplicates, samples, splits, batches --------------------------------------------------------
+
+
+@query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def exact_dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.keep_first(table(spark, sf_dir, "documents"), ["lang", "source", "text"], ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@query("SELECT doc_id, text FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1")
+def duplicate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
+
+
+@query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, 0 AS quality, 0 AS toxic FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def union_primary_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    retry = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    return dedup.union_primary(table(spark, sf_dir, "labels"), retry, ["doc_id"], ["quality"])
+
+
+_SAMPLE = """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, l_suppkey FROM lineitem),
+k AS (SELECT DISTINCT l_suppkey, n, greatest(2, ceil(0.45::DOUBLE * n))::BIGINT AS k FROM r),
+p AS (SELECT l_suppkey, n, k, unnest(range(k)) AS j FROM k WHERE n > 2),
+c AS (SELECT DISTINCT l_suppkey, CASE WHEN j = k - 1 THEN n - 1 ELSE floor(j::DOUBLE * ((n - 1)::DOUBLE / (k - 1)::DOUBLE))::BIGINT END AS i FROM p)
+SELECT r.l_suppkey, l_orderkey, l_linenumber FROM r LEFT JOIN c ON r.l_suppkey = c.l_suppkey AND r.i = c.i WHERE r.n <= 2 OR c.i IS NOT NULL
+"""
+
+
+@query(_SAMPLE)
+def uniform_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber")
+    return dedup.systematic_sample(rows, "l_suppkey", ["l_orderkey", "l_linenumber"])
+
+
+_SPLIT = """
+WITH i AS (SELECT DISTINCT doc_id FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS r, count(*) OVER () AS n FROM i),
+s AS (SELECT doc_id, CASE WHEN r < floor(0.8::DOUBLE * n) THEN 'train' WHEN r < floor((0.8::DOUBLE + 0.1::DOUBLE) * n) THEN 'valid' ELSE 'test' END AS split FROM r)
+"""
+
+
+@query(_SPLIT + "SELECT doc_id, split FROM s")
+def document_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.split_documents(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(_SPLIT + ", b AS (SELECT split, count(*) AS n_rows, count(DISTINCT d.doc_id) AS n_docs FROM documents d JOIN s USING (doc_id) GROUP BY split) SELECT split, n_rows, n_docs, round(100.0 * n_rows / sum(n_rows) OVER (), 6) AS rows_pct, round(100.0 * n_docs / sum(n_docs) OVER (), 6) AS docs_pct FROM b")
+def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    out = dedup.split_stats(dedup.with_split(docs, dedup.split_documents(docs, "doc_id"), "doc_id"), "doc_id")
+    return out.withColumns({c: F.round(c, 6) for c in ("rows_pct", "docs_pct")})
+
+
+@query("SELECT doc_id, 2::BIGINT AS n_splits FROM documents WHERE false")
+def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return dedup.leaked_documents(dedup.with_split(docs, dedup.split_documents(docs, "doc_id"), "doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 50)::INT AS batch_id FROM documents")
+def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.assign_batches(table(spark, sf_dir, "documents").select("doc_id"), 50, ["doc_id"])
+
+
+@query("SELECT text, min(doc_id) AS first_seen FROM documents GROUP BY text")
+def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.first_seen(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_join_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.unprocessed(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+# --- profiles ------------------------------------------------------------------------------------
+
+
+@query(_CHUNKS + ", z AS (SELECT doc_id, count(*) AS n FROM made GROUP BY doc_id) SELECT count(*) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS least, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, max(n) AS most FROM z")
+def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = passages.chunk_documents(_prepared(spark, sf_dir), "text", "doc_id")
+    return profile.describe(profile.group_sizes(made, "doc_id"), "n").withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+_B = ", ".join(f"({k}, '{a if a == b else f'{a}-{b}'}', {a}, {b})" for k, (a, b) in enumerate(profile.BUCKETS))
+
+
+@query(f"WITH z AS (SELECT conv_id, count(*) AS c FROM conversations GROUP BY conv_id), b(position, bucket, a, z) AS (VALUES {_B}) SELECT position::INT AS position, bucket, count(c) AS n FROM b LEFT JOIN z ON c BETWEEN b.a AND b.z GROUP BY position, bucket")
+def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.histogram(profile.group_sizes(table(spark, sf_dir, "conversations"), "conv_id"), "n")
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY n DESC, conv_id LIMIT 20")
+def largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.largest(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query("SELECT source, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM documents GROUP BY source")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_rows"), F.countDistinct("text").alias("n_texts"))
+
+
+# --- pairs and rules -----------------------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns with the assistant's next turn."""
+    turns = table(spark, sf_dir, "conversations")
+    after = Window.partitionBy("conv_id").orderBy("turn")
+    both = turns.withColumns({"positive": F.lead("text").over(after), "next_role": F.lead("role").over(after)})
+    return both.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "positive")
+
+
+_PAIRS = "WITH t AS (SELECT *, lead(text) OVER w AS positive, lead(role) OVER w AS next_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), pairs AS (SELECT conv_id, turn, text AS question, positive FROM t WHERE role = 'user' AND next_role = 'assistant')"
+
+
+@query(_PAIRS + " SELECT conv_id, turn, question AS anchor, positive FROM pairs WHERE question IS NOT NULL AND positive IS NOT NULL")
+def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).dropna(subset=["question", "positive"]).withColumnRenamed("question", "anchor")
+
+
+_Q, _P = COLLAPSE.sql("question"), COLLAPSE.sql("positive")
+_LATIN = "[éèäößüñáí]"
+_STAGE1 = f"""{_PAIRS}, c AS (SELECT *, {_Q} AS q, {_P} AS p, {clean.normalise_question_sql('question')} AS nq, {clean.normalise_question_sql('positive')} AS np FROM pairs),
+r AS (SELECT conv_id, turn, nq, CASE WHEN q = '' THEN 'empty_question' WHEN p = '' THEN 'empty_positive' WHEN len({words_sql('q')}) < 4 THEN 'short_question' WHEN len({words_sql('q')}) > 40 THEN 'long_question'
+ WHEN len({words_sql('p')}) < 15 THEN 'short_positive' WHEN NOT regexp_matches(q, '{_LATIN}') THEN 'no_hindi' WHEN NOT ends_with(q, '.') THEN 'missing_question_mark'
+ WHEN length(q) - length(replace(q, '.', '')) > 2 THEN 'multiple_question_marks' WHEN regexp_matches(q, '{clean.GARBAGE}') OR regexp_matches(p, '{clean.GARBAGE}') THEN 'ocr_garbage' WHEN nq = np THEN 'question_equals_positive'
+ WHEN {clean.is_repeated_word_sql('q')} THEN 'repeated_word' END AS reason FROM c),
+f AS (SELECT conv_id, turn, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY nq, reason IS NULL ORDER BY conv_id, turn) > 1 THEN 'duplicate_question' END AS remove_reason FROM r)
+"""
+
+
+def _stage1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.filter_pairs(_pairs(spark, sf_dir), ["conv_id", "turn"], script=_LATIN, mark=".")
+
+
+@query(_STAGE1 + "SELECT conv_id, turn, remove_reason FROM f")
+def stage1_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stage1(spark, sf_dir).select("conv_id", "turn", "remove_reason")
+
+
+@query(_STAGE1 + "SELECT remove_reason, count(*) AS n FROM f WHERE remove_reason IS NOT NULL GROUP BY remove_reason")
+def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.reason_counts(_stage1(spark, sf_dir))
+
+
+_BAD = "casino|erber|the of|ungheit"
+_FINAL = f"""CASE WHEN regexp_matches({strip_sql('text')}, '(?i){_BAD}') THEN 'blacklisted' WHEN length({strip_sql('text')}) <= 10 THEN 'too_short' WHEN ends_with({strip_sql('text')}, 'the.') OR ends_with({strip_sql('text')}, 'la.') THEN 'bad_ending'
+ WHEN length(text) = 0 OR len(regexp_extract_all(text, {literal(DIGIT)}))::DOUBLE / length(text) > 0.18 THEN 'mostly_digits' WHEN regexp_matches(text, 'euro|dollar|license') THEN 'currency' END"""
+
+
+@query(f"SELECT doc_id, {_FINAL} AS reason FROM documents")
+def final_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.first_reason(rules.final_rules("text", "text", _BAD, ("the.", "la."), "euro|dollar|license"))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("reason"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i){_BAD}')")
+def keyword_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(f"(?iu){_BAD}")).select("doc_id")
+
+
+@query(f"SELECT doc_id, round(len(regexp_extract_all(text, {literal(DIGIT)}))::DOUBLE / length(text), 9) AS digit_ratio FROM documents")
+def digit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(clean.digit_ratio("text"), 9).alias("digit_ratio"))
+
+
+_FLAGGED = "SELECT d.doc_id, quality = 1 AS reusable, true AS question_answer_match, toxic = 1 AS person_specific, d.lang = 'es' AS agriculture, false AS identity_lookup, d.text LIKE '%@%' AS contact_information, false AS navigation_or_metadata, d.text LIKE '%###%' AS encoding_problem FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").contains("@").alias("contact_information"), F.col("text").contains("###").alias("encoding_problem"))
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id", (F.col("quality") == 1).alias("reusable"), F.lit(True).alias("question_answer_match"), (F.col("toxic") == 1).alias("person_specific"), (F.col("lang") == "es").alias("agriculture"),
+        F.lit(False).alias("identity_lookup"), "contact_information", F.lit(False).alias("navigation_or_metadata"), "encoding_problem",
+    )
+
+
+@query(f"WITH f AS ({_FLAGGED}) SELECT doc_id, CASE WHEN coalesce(person_specific, false) OR contact_information OR encoding_problem THEN 'REMOVE' WHEN agriculture AND coalesce(reusable, false) THEN 'KEEP' ELSE 'REVIEW' END AS verdict FROM f")
+def flag_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).select("doc_id", rules.route_flags().alias("verdict"))
+
+
+@query(f"WITH f AS ({_FLAGGED}) SELECT doc_id FROM f WHERE reusable AND person_specific = false AND contact_information = false AND encoding_problem = false")
+def flag_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir).where(rules.flag_mask()).select("doc_id")
+
+
+@query("SELECT conv_id, turn, starts_with(x, 'api_error') AS again FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'api_error: ' || text ELSE text END AS x FROM conversations)")
+def api_error_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("llm_reason", F.when(F.col("role") == "user", F.concat(F.lit("api_error: "), F.col("text"))).otherwise(F.col("text")))
+    return turns.select("conv_id", "turn", rules.is_api_error("llm_reason", F.lit(None)).alias("again"))
+
+
+# --- pages and URLs ------------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, {urls.slug_sql('url')} AS slug FROM pages")
+def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.slug("url").alias("slug"))
+
+
+@query("SELECT page_id, url FROM pages WHERE contains(url, '?utm_source') AND contains(url, '/en/')")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(urls.is_content_url("url", ("?utm_source", "/en/"))).select("page_id", "url")
+
+
+@query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.page_info()["title"].alias("title"))
+
+
+@query()
+def html_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages").select("page_id", html.page_info().alias("p"))
+    return found.select("page_id", "p.title", "p.description", F.array_join("p.pdf_links", "\n").alias("pdf_links"), clean.clean_extracted("p.content").alias("content"))
+
+
+_RULES = {"english": "/en/", "french": "/fr/", "shop": "pills|casino|adult", "news": "utm_source|page="}
+
+
+@query(f"SELECT page_id, unnest({urls.categories_sql('url', _RULES)}) AS category FROM pages")
+def categorise_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(urls.categories("url", _RULES)).alias("category"))
+
+
+@query(f"SELECT page_id, {urls.triage_sql('url')} AS verdict, {urls.triage_sql('url', 'casino|pills|spam', 'blog|/en/')} AS own_verdict FROM pages")
+def triage_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.triage("url").alias("verdict"), urls.triage("url", "casino|pills|spam", "blog|/en/").alias("own_verdict"))
+
+
+@query(f"SELECT page_id, {contains_any_sql('url', urls.JUNK)} AS junk, {contains_any_sql(chr(39) + chr(39) + ' || url', urls.FAQ)} AS faq FROM pages")
+def skip_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_junk_url("url").alias("junk"), urls.is_faq("url").alias("faq"))
+
+
+@query("SELECT DISTINCT source, substr(text, 1, 40) AS title FROM documents")
+def title_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 40).alias("title")).distinct()
+
+
+# --- retrieval -----------------------------------------------------------------------------------
+
+_SCORES = """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS n FROM v),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS corpus_id, a.label = b.label AS rel, list_inner_product(a.x, b.x) / (a.n * b.n) AS score FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank FROM s QUALIFY rank <= 10)
+"""
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = 10, dims: int | None = None) -> DataFrame:
+    """Each vector's k nearest others."""
+    v = table(spark, sf_dir, "embeddings")
+    v = v if dims is None else v.withColumn("embedding", F.slice("embedding", 1, dims))
+    found = retrieval.search(v, v, k + 1).where("query_id <> corpus_id").drop("rank")
+    again = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
+    return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+
+
+def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return v.alias("a").join(v.alias("b"), "label").where("a.vec_id <> b.vec_id").select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("corpus_id"))
+
+
+@query(_SCORES + "SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM hits")
+def topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("query_id", "corpus_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(_SCORES + "SELECT query_id, corpus_id, round(score, 6) AS score FROM hits WHERE rank = 1")
+def top1_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir, 1).select("query_id", "corpus_id", F.round("score", 6).alias("score"))
+
+
+_VSPLIT = _SPLIT.replace("FROM documents", "FROM embeddings").replace("doc_id", "vec_id")
+
+
+@query(f"""{_VSPLIT}, v AS (SELECT vec_id, split, embedding::DOUBLE[] AS x FROM embeddings JOIN s USING (vec_id)), u AS (SELECT *, sqrt(list_inner_product(x, x)) AS m FROM v),
+t AS (SELECT a.split, a.vec_id AS query_id, b.vec_id AS corpus_id, list_inner_product(a.x, b.x) / (a.m * b.m) AS c FROM u a JOIN u b ON a.split <> 'train' AND b.split = 'train'),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, corpus_id) AS r FROM t)
+SELECT split, query_id, corpus_id, round(c, 4) AS similarity FROM k WHERE r = 1 AND c >= 0.3""")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    v = v.join(dedup.split_documents(v, "vec_id"), "vec_id")
+    train = v.where("split = 'train'")
+    return retrieval.near_duplicates(v.where("split = 'valid'"), train, "valid", 0.3).unionByName(retrieval.near_duplicates(v.where("split = 'test'"), train, "test", 0.3))
+
+
+@query(_SCORES + """, x AS (SELECT query_id, string_agg(text, chr(10) ORDER BY rank) AS c, string_agg('• ' || source || ' (Score: ' || printf('%.2f', score) || ')', chr(10) ORDER BY rank) AS src FROM hits JOIN documents ON doc_id = corpus_id WHERE rank <= 5 AND score > 0.3 GROUP BY query_id)
+SELECT v.vec_id AS query_id, coalesce(substr(c, 1, 3000), 'none') AS context, coalesce(src, '') AS sources FROM v LEFT JOIN x ON query_id = vec_id""")
+def rag_topk_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("origin"))
+    return retrieval.context(_hits(spark, sf_dir, 5), texts, none="none")
+
+
+_METRICS = _SCORES + """, n AS (SELECT query_id, count(*) FILTER (rel) AS n_rel FROM s GROUP BY query_id HAVING n_rel > 0),
+g AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM hits WHERE rel),
+q AS (SELECT query_id, n_rel, count(rank) FILTER (rank <= 1) AS h1, count(rank) FILTER (rank <= 3) AS h3, count(rank) FILTER (rank <= 5) AS h5, count(rank) AS h10, coalesce(1 / min(rank), 0) AS mrr, coalesce(sum(1 / log2(rank + 1)), 0) AS dcg, coalesce(sum(nth / rank), 0) AS ap FROM n LEFT JOIN g USING (query_id) GROUP BY query_id, n_rel),
+i AS (SELECT *, list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda r: 1 / log2(r + 1))) AS ideal FROM q)
+"""
+_EACH = [(f"{m}@{k}", e.format(k=k)) for m, e in (("accuracy", "avg((h{k} > 0)::INT)"), ("precision", "avg(h{k} / {k})"), ("recall", "avg(h{k} / n_rel)")) for k in ir.KS] + [("mrr@10", "avg(mrr)"), ("ndcg@10", "avg(dcg / ideal)"), ("map@10", "avg(ap / least(n_rel, 10))")]
+
+
+@query(_METRICS + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({e}, 6) AS value FROM i" for m, e in _EACH))
+def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ir.metrics(_hits(spark, sf_dir), _qrels(spark, sf_dir)).withColumn("value", F.round("value", 6))
+
+
+_GAIN = " UNION ALL ".join(f"SELECT '{m}' AS metric, {e} AS value FROM i" for m, e in _EACH)
+_SHORT = _METRICS.replace("embedding::DOUBLE[] AS x", "embedding[1:8]::DOUBLE[] AS x")
+
+
+@query(f"""WITH base AS ({_SHORT} SELECT * FROM ({_GAIN})), tuned AS ({_METRICS} SELECT * FROM ({_GAIN}))
+SELECT metric, round(b.value, 6) AS base, round(t.value, 6) AS tuned, round(t.value - b.value, 6) AS absolute_gain, CASE WHEN b.value <> 0 THEN round((t.value - b.value) / b.value * 100, 6) END AS relative_gain FROM base b JOIN tuned t USING (metric)""")
+def metric_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ir.metrics(_hits(spark, sf_dir, dims=8), _qrels(spark, sf_dir))
+    return ir.compare(base, ir.metrics(_hits(spark, sf_dir), _qrels(spark, sf_dir))).withColumns({c: F.round(c, 6) for c in ("base", "tuned", "absolute_gain", "relative_gain")})
+
+
+@query(_SCORES + ", g AS (SELECT query_id, min(rank) AS rank FROM hits WHERE rel GROUP BY query_id), w AS (SELECT DISTINCT query_id FROM s WHERE rel) SELECT query_id, coalesce(g.rank::VARCHAR, 'Not in Top10') AS first_rank, h.corpus_id AS top, round(h.score, 6) AS top_score FROM w LEFT JOIN g USING (query_id) LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)")
+def rank_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _hits(spark, sf_dir)
+    return ir.rank_report(hits, hits, _qrels(spark, sf_dir)).select("query_id", F.col("base_rank").alias("first_rank"), F.col("base_top").alias("top"), F.round("base_score", 6).alias("top_score"))
+
+
+# --- model surfaces ------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, count(*) AS n_turns, string_agg('<' || role || '> ' || regexp_replace(text, chr(10), ' ', 'g'), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("<"), F.col("role"), F.lit("> "), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    by = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("x"))
+    return by.select("conv_id", "n_turns", F.array_join("x.line", "\n").alias("prompt"))
+
+
+@query("SELECT conv_id, turn, 'system' AS first_role, 'user' AS last_role, text AS content FROM conversations")
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("m", as_messages(F.lit("Be brief."), "text"))
+    return turns.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["role"].alias("last_role"), F.col("m")[1]["content"].alias("content"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'No answer was given.' ELSE trim(text, ' ' || chr(10)) END AS answer FROM conversations")
+def after_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("<think>one</think><think>"), F.col("role"), F.lit("</think>\n"), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", clean.after_thinking(raw).alias("answer"))
+
+
+@query("SELECT 'd' || doc_id AS chunk_id, q AS question, text AS positive FROM documents, (VALUES ('what'), ('who'), ('why')) t(q)")
+def question_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"))
+    said = F.concat(F.lit('```json\n[{"chunk_id": "'), F.col("chunk_id"), F.lit('", "questions": [" what", "why ", "who", "", "what"]}, {"chunk_id": "none", "questions": ["a", "b", "c"]}]\n```'))
+    return generated_pairs(docs.select(said.alias("response")), docs).select("chunk_id", "question", "positive")
+
+
+@query(f"SELECT doc_id, {COLLAPSE.sql('text')} AS text FROM documents")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through a stream that ends when it has read them."""
+    import os
+    import shutil
+    import tempfile
+    import uuid
+
+    from textlake.streaming import ingest
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    root = f"{shared or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    if shared is None:
+        import atexit
+
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    source = f"{sf_dir}/documents.parquet"
+    single = "" if os.path.isdir(source) else "*"  # a lone file is read by a pattern that it alone matches
+    schema = table(spark, sf_dir, "documents").schema
+    ingest.available_now(spark, f"{source}{single}", schema, f"{root}/out", f"{root}/seen", lambda d: d.select("doc_id", clean.clean_pair_text("text").alias("text")))
+    return spark.read.parquet(f"{root}/out")
