@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textlake.llm import chat, fingerprints, langid, mixing, near_vectors, ngram_join, packing, sentencepiece_sa, sharding, url_templates
 from textlake.llm.common import load
@@ -50,7 +51,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compact(load(spark, sf_dir, "documents"))
+    return fingerprints.compact(load(spark, sf_dir, "documents")).withColumn("sections", F.array_join("sections", ","))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ WITH p AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10))
 l AS (SELECT r, doc_id, x, list_transform(x, lambda s: sha256('P' || s)) AS leaf, len(x) AS n FROM p),
 e AS (SELECT *, list_filter(range(1, n + 1), lambda i: i = n OR trim(x[i], ' ') = '' OR leaf[i][1:1] = '0') AS ends FROM l),
 s AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda k: sha256('S' || array_to_string(leaf[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END : ends[k]], ''))) AS sections FROM e)
-SELECT doc_id, sha256('R' || array_to_string(sections, '')) AS root, len(sections)::INT AS n_sections, n::INT AS n_paragraphs, sections,
+SELECT doc_id, sha256('R' || array_to_string(sections, '')) AS root, len(sections)::INT AS n_sections, n::INT AS n_paragraphs, array_to_string(sections, ',') AS sections,
   min(doc_id) OVER (PARTITION BY sha256('R' || array_to_string(sections, ''))) AS same_as FROM s
 """
 
