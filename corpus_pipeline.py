@@ -23,8 +23,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn for the sources' weights, shuffled."""
-    return mixing.mix_sources(docs, SOURCE_WEIGHTS).drop("mix_shard", "mix_pos")
+    """The documents drawn for the sources' weights, each shard's together in its shuffled order."""
+    mixed = mixing.mix_sources(docs, SOURCE_WEIGHTS).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_pos")
+    return mixed.drop("mix_shard", "mix_pos")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

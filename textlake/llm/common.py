@@ -71,6 +71,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(c: str | Column = "text") -> Column:
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
@@ -85,6 +93,15 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 1_000_000  # a table of keys is broadcast up to this many rows
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """keys, for a join, to be broadcast if they are few enough; else the join shuffles. Give it a
+    table that cut wrote, so that counting reads its footers only."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 # --- flat access to Arrow string columns -------------------------------------------------
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import hash_u63, without
+from textlake.llm.common import fresh, hash_u63, without
 
 MAX_SOURCES = 100_000  # the plan is made on the driver and sent to every task: sources x shards counts
 MAX_CELLS = 50_000_000
@@ -101,7 +101,8 @@ def mix_sources(
     order is a tie between equal rows. Null or empty texts are documents like others. A column named
     mix_shard or mix_pos gives way. The result does not depend on how docs is partitioned.
     """
-    docs = without(docs, "mix_shard", "mix_pos", "__src", "__h")
+    docs = without(docs, "mix_shard", "mix_pos")
+    src, h = fresh(docs, "__src"), fresh(docs, "__h")
     name = F.coalesce(F.col(source).cast("string"), F.lit(""))
     found = docs.groupBy(name.alias("s")).count().orderBy("s").limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -116,19 +117,19 @@ def mix_sources(
     plan = docs.sparkSession.sparkContext.broadcast(({s: k for k, s in enumerate(names)}, blocks, quotas, ends))
 
     @F.pandas_udf("int")
-    def shard_of(src: pd.Series, h: pd.Series) -> pd.Series:
+    def shard_of(names: pd.Series, hashes: pd.Series) -> pd.Series:
         at, blocks, quotas, ends = plan.value
-        codes, seen = pd.factorize(src)
-        out = np.full(len(src), -1, np.int32)
+        codes, seen = pd.factorize(names)
+        out = np.full(len(names), -1, np.int32)
         for c, s in enumerate(seen):
             k, rows = at[s], np.flatnonzero(codes == c)
-            place = permuted(h.to_numpy()[rows] % blocks[k], int(blocks[k]), seed + k)
+            place = permuted(hashes.to_numpy()[rows] % blocks[k], int(blocks[k]), seed + k)
             drawn = place < quotas[k]
             out[rows[drawn]] = np.searchsorted(ends[:, k], place[drawn], side="right")
         return pd.Series(out)
 
     hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() in {"string", "long", "integer", "short", "byte", "double", "float", "boolean", "date", "timestamp", "binary", "array", "struct"}]
-    rows = docs.withColumn("__src", name).withColumn("__h", hash_u63(*hashed, seed=seed))
-    rows = rows.withColumn("mix_shard", shard_of("__src", "__h")).where("mix_shard >= 0")
-    order = Window.partitionBy("mix_shard").orderBy(F.xxhash64("__h", F.lit(seed + 1)))
-    return rows.withColumn("mix_pos", (F.row_number().over(order) - 1).cast("int")).drop("__src", "__h")
+    rows = docs.withColumn(src, name).withColumn(h, hash_u63(*hashed, seed=seed))
+    rows = rows.withColumn("mix_shard", shard_of(src, h)).where("mix_shard >= 0")
+    order = Window.partitionBy("mix_shard").orderBy(F.xxhash64(h, F.lit(seed + 1)))
+    return rows.withColumn("mix_pos", (F.row_number().over(order) - 1).cast("int")).drop(src, h)

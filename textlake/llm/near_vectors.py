@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import cut, hash_u63, runs_of
+from textlake.llm.common import cut, fresh, hash_u63, runs_of, small_side
 from textlake.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -136,5 +136,6 @@ def drop_near_copies(vectors: DataFrame, threshold: float = THRESHOLD, id: str =
     """vectors with one id of each group of near copies (connected pairs), the least one. Rows that
     pair with nothing all stay."""
     group = connected_components(near_pairs(vectors, threshold, id, embedding), "vec_a", "vec_b")
-    gone = group.where("node <> component").select(F.col("node").alias("__gone"))
-    return vectors.join(gone, F.col(id).cast("bigint") == F.col("__gone"), "left_anti")
+    name = fresh(vectors, "__gone")
+    gone = cut(group.where("node <> component").select(F.col("node").alias(name)))
+    return vectors.join(small_side(gone), F.col(id).cast("bigint") == F.col(name), "left_anti")
