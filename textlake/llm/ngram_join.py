@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import cut, flat_utf8, partitions_for, slices, string_array, text_or_empty
+from textlake.llm.common import cut, flat_utf8, fresh, partitions_for, slices, small_side, string_array, text_or_empty
 from textlake.llm.components import connected_components
 
 N, THRESHOLD, RECALL = 3, 0.6, 0.97
@@ -201,7 +201,9 @@ def class_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     meets = placed.join(last, "component").select("doc_id", "words", "component", "tile", other)
     meets = meets.select("doc_id", "words", "component", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    sent = kept.join(cut(meets), "doc_id").repartition(partitions_for(docs), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "words", "doc_id")
+    meets = cut(meets)
+    met = small_side(cut(meets.select("doc_id").distinct()))  # texts without a candidate are not moved
+    sent = kept.join(met, "doc_id", "left_semi").join(meets, "doc_id").repartition(partitions_for(docs), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "words", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # rows of a group that may go on in the next batch
@@ -247,11 +249,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     pairs are returned. No pairs, or an empty table, give no rows. Other columns play no part.
     """
     members, pairs = class_pairs(docs, n, threshold, recall)
-    x, y = members.select(F.col("class").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("class").alias("b"), F.col("doc_id").alias("y"))
-    near = pairs.join(x, "a").join(y, "b").select("x", "y", "jaccard")
-    same = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    both = near.unionByName(same).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-    return both.groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 9).alias("jaccard"))
+    members = cut(members.withColumn("many", F.count("*").over(Window.partitionBy("doc_id")) > 1))
+    x = members.select(F.col("class").alias("a"), F.col("doc_id").alias("x"), F.col("many").alias("p"))
+    y = members.select(F.col("class").alias("b"), F.col("doc_id").alias("y"), F.col("many").alias("q"))
+    near = pairs.join(x, "a").join(y, "b").select("x", "y", "jaccard", (F.col("p") | F.col("q")).alias("many"))
+    same = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"), (F.col("p") | F.col("q")).alias("many"))
+    both = near.unionByName(same).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), F.round("jaccard", 9).alias("jaccard"), "many")
+    # only ids that stand on several texts can make a pair twice
+    again = both.where("many").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return both.where("not many").drop("many").unionByName(again)
 
 
 def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -260,13 +266,13 @@ def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     Groups are the connected components of ngram_jaccard_join. Of rows that share a doc_id the one
     with the least text is looked at, the others go. Rows with a null doc_id, or a text without words, stay as they are.
     """
-    key = F.col("doc_id").cast("bigint")
-    twice = cut(docs.select(key.alias("__twice")).where("__twice is not null").groupBy("__twice").count().where("count > 1").select("__twice"))
+    key, gone_name, twice_name, nth = F.col("doc_id").cast("bigint"), fresh(docs, "__gone"), fresh(docs, "__twice"), fresh(docs, "__nth")
+    twice = cut(docs.select(key.alias(twice_name)).where(F.col(twice_name).isNotNull()).groupBy(twice_name).count().where("count > 1").select(twice_name))
     first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    again = docs.join(twice, key == F.col("__twice"), "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    single = docs.join(twice, key == F.col("__twice"), "left_anti").unionByName(again)
+    again = docs.join(small_side(twice), key == F.col(twice_name), "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
+    single = docs.join(small_side(twice), key == F.col(twice_name), "left_anti").unionByName(again)
     members, pairs = class_pairs(single, n, threshold, recall)
     group = connected_components(pairs)
     whole = members.join(group, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("component", "class").alias("c"))
-    gone = cut(whole.select(F.col("doc_id").alias("__gone"), F.min("doc_id").over(Window.partitionBy("c")).alias("__stays")).where("__gone <> __stays").select("__gone"))
-    return single.join(gone, key == F.col("__gone"), "left_anti")
+    gone = cut(whole.select(F.col("doc_id").alias(gone_name), F.min("doc_id").over(Window.partitionBy("c")).alias("stays")).where(F.col(gone_name) != F.col("stays")).select(gone_name))
+    return single.join(small_side(gone), key == F.col(gone_name), "left_anti")
