@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.pytext import COLLAPSE, WS, Steps, col, literal, strip, strip_sql, word_count, words_sql
+from textlake.functions.pytext import COLLAPSE, WS, Steps, col, let, literal, strip, strip_sql, word_count, words_sql
 
 SPANS = "array<struct<s:int,e:int>>"
 _MARK = "\x01"
@@ -100,14 +100,14 @@ def joined(sentences: Column, spans: Column) -> Column:
 
 def chunk_words(sentences: Column, max_words: int = 200, longer_than: int | None = 80, least_words: int | None = None) -> Column:
     """Overlapping chunks, of which those stay that are longer than so many characters, or have so many words."""
-    made = joined(sentences, word_spans(F.transform(sentences, word_count), max_words))
+    made = let(sentences, lambda s: joined(s, word_spans(F.transform(s, word_count), max_words)))
     if longer_than is not None:
         made = F.filter(made, lambda c: F.length(c) > longer_than)
     return made if least_words is None else F.filter(made, lambda c: word_count(c) >= least_words)
 
 
 def chunk_chars(sentences: Column, max_chars: int = 400, longer_than: int = 80) -> Column:
-    made = joined(sentences, char_spans(F.transform(sentences, F.length), max_chars))
+    made = let(sentences, lambda s: joined(s, char_spans(F.transform(s, F.length), max_chars)))
     return F.filter(made, lambda c: F.length(c) > longer_than)
 
 

@@ -6,6 +6,7 @@ and the reference's are Unicode. The same classes work in DuckDB's RE2, so the o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -22,6 +23,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once; a column used inside a lambda would be for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal(text: str) -> str:
     """A SQL string literal."""
     return "'" + text.replace("'", "''") + "'"

@@ -28,8 +28,8 @@ def first_reason(rules: list[Rule]) -> Column:
 def pair_rules(
     question: str | Column = "question", positive: str | Column = "positive", least_question: int = 4, most_question: int = 40, least_positive: int = 15, script: str = DEVANAGARI, mark: str = "?", most_marks: int = 2
 ) -> list[Rule]:
-    """The rules for question and passage pairs; both are cleaned first."""
-    q, p = clean.clean_pair_text(question), clean.clean_pair_text(positive)
+    """The rules for question and passage pairs, which clean_pair_text has cleaned."""
+    q, p = col(question), col(positive)
     literal_mark = rf"\{mark}"
     return [
         ("empty_question", q == ""),
@@ -49,12 +49,13 @@ def pair_rules(
 def filter_pairs(pairs: DataFrame, order: list[str | Column], question: str = "question", positive: str = "positive", **rules) -> DataFrame:
     """pairs with remove_reason: that of the first rule, or duplicate_question for all but the first
     (in order) of the passing rows whose normalised questions are equal; null for kept rows."""
-    found = pairs.withColumn("__reason", first_reason(pair_rules(question, positive, **rules)))
+    found = pairs.withColumns({"__q": clean.clean_pair_text(question), "__p": clean.clean_pair_text(positive)})
+    found = found.withColumn("__reason", first_reason(pair_rules("__q", "__p", **rules)))
     # only passing rows compete; a removed one has a key of its own, so they don't gather in one task
     alone = F.concat(F.lit("\0"), F.xxhash64(*order).cast("string"))
-    key = F.when(F.col("__reason").isNull(), clean.normalise_question(question)).otherwise(alone)
+    key = F.when(F.col("__reason").isNull(), clean.normalise_question("__q")).otherwise(alone)
     later = F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1
-    return found.withColumn("remove_reason", F.when(F.col("__reason").isNotNull(), F.col("__reason")).when(later, F.lit("duplicate_question"))).drop("__reason")
+    return found.withColumn("remove_reason", F.when(F.col("__reason").isNotNull(), F.col("__reason")).when(later, F.lit("duplicate_question"))).drop("__reason", "__q", "__p")
 
 
 def final_rules(question: str | Column = "question", positive: str | Column = "positive", blacklist: str = BLACKLIST, endings: tuple[str, ...] = BAD_ENDINGS, currency: str = CURRENCY, most_digits: float = DIGITS_AT_MOST) -> list[Rule]:
