@@ -89,7 +89,9 @@ def test_legacy_split():
     assert [x for x, _ in found] == order.tolist() and Counter(s for _, s in found) == {"train": 40, "valid": 5, "test": 5}
 
 
-def test_batches(spark):
+@pytest.mark.parametrize("rows", [10, 1_000_000])
+def test_batches(spark, monkeypatch, rows):
+    monkeypatch.setattr(dedup, "RANGE_ROWS", rows)
     df = spark.createDataFrame([(k * 7 % 101, k) for k in range(101)], "o int, v int")
     assert {r.o: r.batch_id for r in dedup.assign_batches(df.repartition(5), 20, ["o"]).collect()} == {k: k // 20 for k in range(101)}
 

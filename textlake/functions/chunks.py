@@ -6,7 +6,7 @@ the spans. All stay in the JVM.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions.pytext import COLLAPSE, WS, Steps, col, let, literal, strip, strip_sql, word_count, words_sql
@@ -111,6 +111,15 @@ def chunk_chars(sentences: Column, max_chars: int = 400, longer_than: int = 80)
     return F.filter(made, lambda c: F.length(c) > longer_than)
 
 
+def listed(df: DataFrame, items: Column, keep: list[str | Column], place: str, item: str) -> DataFrame:
+    """keep, place (from 0) and item of each element of items.
+
+    An inner posexplode would make Spark filter on the size of items first and so make them twice;
+    the outer one does not.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(place, item)).where(F.col(place).isNotNull())
+
+
 # --- the same folds in DuckDB: list_reduce over states ------------------------------------------
 
 

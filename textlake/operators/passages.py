@@ -25,9 +25,8 @@ def chunk_documents(docs: DataFrame, text: str = "text", id: str = "document_id"
     80 characters, so gates that follow leave gaps.
     """
     kept = docs.where(F.length(text) >= least_chars)
-    parts = kept.withColumn("__s", chunks.sentences_a(text)).withColumn("__c", chunks.chunk_words(F.col("__s"), max_words))
     rest = [c for c in docs.columns if c != text]
-    out = parts.select(*rest, F.posexplode("__c").alias("chunk_index", "chunk_text"))
+    out = chunks.listed(kept, chunks.chunk_words(chunks.sentences_a(text), max_words), rest, "chunk_index", "chunk_text")
     return recount(out.withColumn("chunk_id", F.concat_ws("_", F.col(id).cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string"))))
 
 
@@ -44,16 +43,14 @@ def passages(docs: DataFrame, text: str = "text", id: str = "document_id", least
 def rechunk_large(chunks_: DataFrame, over: int = 400, max_words: int = MAX_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """chunks_ with those of more than over words split again; parts get the suffix _fix and their
     number, keep the chunk_index, and go if they have under least_words words."""
-    parts = chunks.chunk_words(F.col("__s"), max_words, longer_than=None, least_words=least_words)
     large = F.col("word_count") > over
-    listed = chunks_.withColumn("__s", F.when(large, chunks.sentences_b("chunk_text"))).withColumn("__c", F.when(large, parts).otherwise(F.array("chunk_text")))
+    parts = F.when(large, chunks.chunk_words(chunks.sentences_b("chunk_text"), max_words, longer_than=None, least_words=least_words)).otherwise(F.array("chunk_text"))
     rest = [c for c in chunks_.columns if c not in {"chunk_text", "chunk_id"}]
-    out = listed.select(*rest, "chunk_id", large.alias("__large"), F.posexplode("__c").alias("__k", "chunk_text"))
+    out = chunks.listed(chunks_, parts, [*rest, "chunk_id", large.alias("__large")], "__k", "chunk_text")
     return recount(out.withColumn("chunk_id", F.when(F.col("__large"), F.concat("chunk_id", F.lit("_fix"), F.col("__k").cast("string"))).otherwise(F.col("chunk_id"))).drop("__large", "__k"))
 
 
 def page_chunks(pages: DataFrame, text: str = "text") -> DataFrame:
     """pages' columns but the text, and chunk_no, chunk: consecutive chunks of about 400 characters."""
     rest = [c for c in pages.columns if c != text]
-    made = pages.withColumn("__s", chunks.sentences_c(text)).withColumn("__c", chunks.chunk_chars(F.col("__s")))
-    return made.select(*rest, F.posexplode("__c").alias("chunk_no", "chunk"))
+    return chunks.listed(pages, chunks.chunk_chars(chunks.sentences_c(text)), rest, "chunk_no", "chunk")

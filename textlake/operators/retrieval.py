@@ -1,15 +1,14 @@
 """Similarity search over embeddings.
 
-search multiplies Arrow batches of the corpus with a block of queries and keeps each query's best of
-every batch, so what leaves a task is k rows per query and batch, not pairs. Queries are dealt into
-blocks of at most QUERY_BLOCK, whose matrix a task holds, and the corpus is read once for each block;
-blocks are broadcast one at a time, each of known size.
+Up to QUERY_BLOCK queries are sent to every task as one matrix, and the corpus is read where it lies.
+More queries, and the corpus, are dealt into blocks by hash, and each pair of blocks is a cell that
+one task multiplies; what is moved is each side once for each block of the other. Either way a task
+keeps each query's best only, so what it gives on is k rows per query, not pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.functions.arrow import runs_of
+
 QUERY_BLOCK = 65_536
 _TILE = 8192
 
@@ -50,44 +51,82 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "vec_id
     """
     q = queries.select(F.col(id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     c = corpus.select(F.col(id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    found = [_search_block(q if blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), c, k, least) for b in range(blocks)]
+    found = _broadcast(q, c, k, least) if q.count() <= QUERY_BLOCK else _cells(q, c, k, least)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
-    hits = reduce(DataFrame.unionByName, found)
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+class _Best:
+    """The k best of each query among what has been added."""
+
+    def __init__(self, qid: np.ndarray, qm: np.ndarray, k: int, least: float | None) -> None:
+        self.qid, self.qm, self.k, self.least = qid, qm, k, least
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, col: pa.Array, ids: pa.Array) -> None:
+        at, x = _matrix(col)
+        if not len(at) or not len(self.qid) or x.shape[1] != self.qm.shape[1]:
+            return
+        cid = np.asarray(ids)[at]
+        for lo in range(0, len(cid), _TILE):
+            part = cid[lo : lo + _TILE]
+            for a in range(0, len(self.qid), 1024):
+                s = self.qm[a : a + 1024] @ x[lo : lo + _TILE].T
+                i, j = _top(s, self.k)
+                if self.least is not None:
+                    ok = s[i, j] >= self.least
+                    i, j = i[ok], j[ok]
+                self.parts.append((self.qid[a + i], part[j], s[i, j]))
+                self.held += len(i)
+        if self.held > 4 * self.k * len(self.qid):
+            self.parts = [_reduce(self.parts, self.k)]
+            self.held = len(self.parts[0][0])
 
+    def result(self) -> pa.RecordBatch:
+        x, y, s = _reduce(self.parts, self.k) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.record_batch([pa.array(x), pa.array(y), pa.array(s)], ["query_id", "corpus_id", "score"])
 
-def _search_block(q: DataFrame, c: DataFrame, k: int, least: float | None) -> DataFrame:
+
+_FOUND = "query_id bigint, corpus_id bigint, score double"
+
+
+def _broadcast(q: DataFrame, c: DataFrame, k: int, least: float | None) -> DataFrame:
     table = q.toArrow().combine_chunks()
-    col = table.column("v").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
-    rows, matrix = _matrix(col if isinstance(col, pa.Array) else col.chunk(0))
-    ids = np.asarray(table.column("id"))[rows] if table.num_rows else np.zeros(0, np.int64)
+    batches = table.to_batches()
+    rows, matrix = _matrix(batches[0].column("v")) if batches else (np.zeros(0, int), np.zeros((0, 0)))
+    ids = np.asarray(batches[0].column("id"))[rows] if batches else np.zeros(0, np.int64)
     shared = q.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, qm = shared.value
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        best = _Best(*shared.value, k, least)
         for b in batches:
-            at, x = _matrix(b.column("v"))
-            if not len(at) or not len(qid) or x.shape[1] != qm.shape[1]:
-                continue
-            cid = np.asarray(b.column("id"))[at]
-            for lo in range(0, len(cid), _TILE):
-                part = cid[lo : lo + _TILE]
-                for a in range(0, len(qid), 1024):
-                    s = qm[a : a + 1024] @ x[lo : lo + _TILE].T
-                    i, j = _top(s, part, k) if least is None else _top_least(s, part, k, least)
-                    best.append((qid[a + i], part[j], s[i, j]))
-            if sum(len(p[0]) for p in best) > 4 * k * max(1, len(qid)):
-                best = [_reduce(best, k)]
-        if best:
-            x, y, s = _reduce(best, k)
-            yield pa.record_batch([pa.array(x), pa.array(y), pa.array(s)], ["query_id", "corpus_id", "score"])
-
-    return c.mapInArrow(run, "query_id bigint, corpus_id bigint, score double")
-
-
-def _top(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+            best.add(b.column("v"), b.column("id"))
+        yield best.result()
+
+    return c.mapInArrow(run, _FOUND)
+
+
+def _cells(q: DataFrame, c: DataFrame, k: int, least: float | None) -> DataFrame:
+    qs, cs = (max(1, -(-d.count() // QUERY_BLOCK)) for d in (q, c))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select("id", "v", block(qs).alias("bq"), all_of(cs).alias("bc"), F.lit(0).alias("side"))
+    right = c.select("id", "v", all_of(qs).alias("bq"), block(cs).alias("bc"), F.lit(1).alias("side"))
+    cells = left.unionByName(right).repartition("bq", "bc").sortWithinPartitions("bq", "bc", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in runs_of(batches, ["bq", "bc"]):
+            n = int(np.searchsorted(np.asarray(b.column("side")), 1))
+            rows, matrix = _matrix(b.column("v").slice(0, n))
+            best = _Best(np.asarray(b.column("id"))[:n][rows], matrix, k, least)
+            best.add(b.column("v").slice(n), b.column("id").slice(n))
+            yield best.result()
+
+    return cells.mapInArrow(run, _FOUND)
+
+
+def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best columns of each row, and all that tie with the last."""
     if s.shape[1] <= k:
         return np.nonzero(np.ones_like(s, bool))
@@ -95,17 +134,12 @@ def _top(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
     return np.nonzero(s >= bound[:, None])
 
 
-def _top_least(s: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    i, j = _top(s, ids, k)
-    ok = s[i, j] >= least
-    return i[ok], j[ok]
-
-
 def _reduce(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q, c, s = (np.concatenate([p[n] for p in parts]) for n in range(3))
     order = np.lexsort((c, -s, q))
     q, c, s = q[order], c[order], s[order]
-    place = np.arange(len(q)) - np.repeat(np.flatnonzero(np.append(True, q[1:] != q[:-1])), np.diff(np.append(np.flatnonzero(np.append(True, q[1:] != q[:-1])), len(q)))) if len(q) else np.zeros(0, int)
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
     keep = place < k
     return q[keep], c[keep], s[keep]
 

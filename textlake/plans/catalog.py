@@ -93,7 +93,7 @@ def _listed(e: str) -> str:
 
 
 def _exploded(spark: SparkSession, sf_dir: str, f: Callable) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(f("text")).alias("place", "sentence"))
+    return chunks.listed(table(spark, sf_dir, "documents"), f("text"), ["doc_id"], "place", "sentence")
 
 
 @query(_listed(chunks.sentences_a_sql("text")))
