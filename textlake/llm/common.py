@@ -171,23 +171,3 @@ def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def int_lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """The lists values[offsets[i]:offsets[i+1]] as an Arrow column."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-
-def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of sorted batches regrouped: one batch for each run of equal (integer) keys."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for b in batches:
-        if not len(b):
-            continue
-        k = np.stack([np.asarray(b.column(c), np.int64) for c in keys])
-        at = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1), len(b)]
-        for lo, hi in zip(at[:-1], at[1:]):
-            key = tuple(k[:, lo])
-            if held and key != now:
-                yield pa.concat_batches(held)
-                held = []
-            now = key
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield pa.concat_batches(held)

@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import cut, fresh, hash_u63, runs_of, small_side
+from textlake.functions.arrow import runs_of
+from textlake.llm.common import cut, fresh, hash_u63, small_side
 from textlake.llm.components import connected_components
 
 THRESHOLD = 0.9

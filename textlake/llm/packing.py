@@ -19,8 +19,9 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlake.functions.arrow import runs_of
 from textlake.llm import bpe
-from textlake.llm.common import hash_u63, int_lists, runs_of, slices, take_ranges, text_or_empty
+from textlake.llm.common import hash_u63, int_lists, slices, take_ranges, text_or_empty
 
 LENGTH, EOT = 2048, 50256
 SCHEMA = "pack_group int, pack_row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<bigint>, starts array<int>"
