@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import chunks, clean
-from textlake.functions.pytext import word_count
+from textlake.functions.pytext import let, word_count
 from textlake.operators.dedup import keep_first
 
 LEAST_CHARS, LEAST_WORDS, MAX_WORDS = 100, 40, 200
@@ -24,9 +24,10 @@ def chunk_documents(docs: DataFrame, text: str = "text", id: str = "document_id"
     Documents under least_chars characters give nothing. chunk_index counts the chunks of more than
     80 characters, so gates that follow leave gaps.
     """
-    kept = docs.where(F.length(text) >= least_chars)
+    # the gate is part of the expression: as a filter it would make Spark prepare the text twice
+    made = let(F.col(text), lambda t: F.when(F.length(t) >= least_chars, chunks.chunk_words(chunks.sentences_a(t), max_words)))
     rest = [c for c in docs.columns if c != text]
-    out = chunks.listed(kept, chunks.chunk_words(chunks.sentences_a(text), max_words), rest, "chunk_index", "chunk_text")
+    out = chunks.listed(docs, made, rest, "chunk_index", "chunk_text")
     return recount(out.withColumn("chunk_id", F.concat_ws("_", F.col(id).cast("string"), F.lit("chunk"), F.col("chunk_index").cast("string"))))
 
 
