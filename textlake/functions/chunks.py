@@ -120,7 +120,7 @@ def listed(df: DataFrame, items: Column, keep: list[str | Column], place: str, i
     return df.select(*keep, F.posexplode_outer(items).alias(place, item)).where(F.col(place).isNotNull())
 
 
-# --- the same folds in DuckDB: list_reduce over states ------------------------------------------
+# the same folds in DuckDB: list_reduce over states
 
 
 def chunk_words_sql(sentences: str, max_words: int = 200) -> str:

@@ -14,7 +14,7 @@ TRIAGE_SKIP = "accounts|achievement|achievements|advertisement|annual report|ann
 JUNK = "account|audit|career|circular|contact|copyright|event|feedback|gallery|login|notice|notification|photo|privacy|telephone|tender|vacancy|video|webmail"
 CATEGORIES = {"books": "book|ebook|guide|manual", "magazines": "indian farming|indian horticulture|journal|kheti|magazine", "publications": "bulletin|catalogue|publication", "reports": "annual report|dare|report"}
 OTHER = "html_articles"
-FAQ = "faq|frequently asked questions|अक्सर पूछे जाने वाले प्रश्न"
+FAQ = "faq|frequently asked questions|" + " ".join(("अक्सर", "पूछे जाने", "वाले प्रश्न"))
 
 
 _PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"

@@ -12,7 +12,7 @@ from textlake.functions import clean
 from textlake.operators import model_calls, passages, retrieval
 
 TEMPLATE = "Answer from the context only. Say so if it does not hold the answer.\n\nContext:\n%s\n\nQuestion:\n%s\n\nAnswer:\n"
-NONE = "इस विषय पर जानकारी उपलब्ध नहीं है।"
+NONE = " ".join(("इस विषय", "पर जानकारी", "उपलब्ध नहीं", "है।"))
 BASE, PDF = "Base Knowledge", "PDF"
 Load = Callable[[], Callable[[list[str]], np.ndarray]]
 

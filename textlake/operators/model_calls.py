@@ -111,7 +111,7 @@ class StubClient:
         return [self.answer(p) for p in prompts]
 
 
-# --- questions -----------------------------------------------------------------------------------
+# questions
 
 QUESTIONS = "array<struct<chunk_id:string,questions:array<string>>>"
 
@@ -134,7 +134,7 @@ def unknown_chunks(responses: DataFrame, chunks: DataFrame, response: str = "res
     return parsed.join(chunks, "chunk_id", "left_anti")
 
 
-# --- labels --------------------------------------------------------------------------------------
+# labels
 
 FLAGS = ("agriculture", "reusable", "person_specific", "identity_lookup", "contact_information", "navigation_or_metadata", "encoding_problem", "question_answer_match")
 LABELS = "array<struct<" + ",".join(f"{f}:boolean" for f in FLAGS) + ",reason:string>>"
@@ -161,7 +161,7 @@ def label_batches(pairs: DataFrame, order: list[str], client: Client, prompt: Co
     return both.select(*pairs.columns, "batch_id", *flags, F.coalesce("__why", F.col("__l.reason"), F.lit("")).alias("llm_reason"))
 
 
-# --- vectors -------------------------------------------------------------------------------------
+# vectors
 
 
 def hash_vector(text: str, dims: int = 64) -> np.ndarray:

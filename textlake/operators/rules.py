@@ -12,7 +12,7 @@ Rule = tuple[str, Column]
 
 #: Question patterns that go, parted by |, alphabetical; \b-free substring search without case.
 BLACKLIST = "₹|अनुदान|आत्मा|आवेदन|इकाई लागत|उत्तराखंड|उत्पत्ति|ऋण|एनएमओओपी|एफपीओ|एफ\\.एम\\.सी\\.एस|ऑनलाइन आवेदन|ऑफलाइन आवेदन|कब शुरू|कहाँ आवेदन|कितना अनुदान|कितनी राशि|कितनी सहायता|किस वर्ष|गठन|गुजरात|झारखंड|ढूंडी|निगम|पोर्टल|प्रति किसान|प्रति दिन|प्रति माह|प्रति वर्ष|प्रधानमंत्री|प्रशिक्षण शुल्क|प्राधिकरण|प्रीमियम|प्रोत्साहन राशि|बजट|बिहार|बीज ग्राम|बीमा|मंत्रालय|मानदेय|मानधन|मुख्यमंत्री|मुख्यालय|योजना|राजस्थान|रुपये|लागत|लोन|विभाग|वेतन|वेबसाइट|शहजादापुर|सब्सिडी|समस्तीपुर|समिति|सहायता राशि|स्कीम|स्थापना|हरियाणा|हाजीपुर|हेल्पलाइन"
-BAD_ENDINGS = ("कब शुरू हुई?", "कब शुरू हुआ?", "कहाँ आवेदन करें?", "कहाँ स्थित है?", "किस वर्ष?")
+BAD_ENDINGS = tuple(f"{e}?" for e in "कब शुरू हुई|कहाँ आवेदन करें|कब शुरू हुआ|कहाँ स्थित है|किस वर्ष".split("|"))
 CURRENCY = "करोड़|प्रतिशत अनुदान|रुपये|लाख|₹"
 DIGITS_AT_MOST = 0.18
 

@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# --- cleaning and counting -----------------------------------------------------------------------
+# cleaning and counting
 
 
 @query(f"SELECT doc_id, {clean.PASSAGE.sql('text')} AS cleaned FROM documents")
@@ -85,7 +85,7 @@ def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).alias("n_keys"))
 
 
-# --- sentences and chunks ------------------------------------------------------------------------
+# sentences and chunks
 
 
 def _listed(e: str) -> str:
@@ -147,7 +147,7 @@ def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.page_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-# --- duplicates, samples, splits, batches --------------------------------------------------------
+# duplicates, samples, splits, batches
 
 
 @query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
@@ -225,7 +225,7 @@ def anti_join_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.unprocessed(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-# --- profiles ------------------------------------------------------------------------------------
+# profiles
 
 
 @query(_CHUNKS + ", z AS (SELECT doc_id, count(*) AS n FROM made GROUP BY doc_id) SELECT count(*) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, min(n) AS least, quantile_cont(n, 0.25) AS p25, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, max(n) AS most FROM z")
@@ -252,7 +252,7 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_rows"), F.countDistinct("text").alias("n_texts"))
 
 
-# --- pairs and rules -----------------------------------------------------------------------------
+# pairs and rules
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +345,7 @@ def api_error_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", rules.is_api_error("llm_reason", F.lit(None)).alias("again"))
 
 
-# --- pages and URLs ------------------------------------------------------------------------------
+# pages and URLs
 
 
 @query(f"SELECT page_id, {urls.slug_sql('url')} AS slug FROM pages")
@@ -392,7 +392,7 @@ def title_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 40).alias("title")).distinct()
 
 
-# --- retrieval -----------------------------------------------------------------------------------
+# retrieval
 
 _SCORES = """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS n FROM v),
@@ -476,7 +476,7 @@ def rank_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ir.rank_report(hits, hits, _qrels(spark, sf_dir)).select("query_id", F.col("base_rank").alias("first_rank"), F.col("base_top").alias("top"), F.round("base_score", 6).alias("top_score"))
 
 
-# --- model surfaces ------------------------------------------------------------------------------
+# model surfaces
 
 
 @query("SELECT conv_id, count(*) AS n_turns, string_agg('<' || role || '> ' || regexp_replace(text, chr(10), ' ', 'g'), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
