@@ -102,7 +102,7 @@ def small_side(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-# --- flat access to Arrow string columns -------------------------------------------------
+# flat access to Arrow string columns
 
 
 def flat_utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
