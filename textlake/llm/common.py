@@ -96,10 +96,11 @@ def partitions_for(df: DataFrame) -> int:
 BROADCAST_ROWS = 1_000_000  # a table of keys is broadcast up to this many rows
 
 
-def small_side(keys: DataFrame) -> DataFrame:
-    """keys, for a join, to be broadcast if they are few enough; else the join shuffles. Give it a
-    table that cut wrote, so that counting reads its footers only."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+def small_side(keys: DataFrame, width: int = 1) -> DataFrame:
+    """keys, for a join, to be broadcast if they are few enough; else the join shuffles. width: how
+    many numbers a row is as large as. Give it a table that cut wrote, so that counting reads its
+    footers only."""
+    return F.broadcast(keys) if keys.count() * width <= BROADCAST_ROWS else keys
 
 
 # flat access to Arrow string columns
