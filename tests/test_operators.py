@@ -173,6 +173,22 @@ def test_ir_metrics(spark):
     assert ranks[0] == next((k for q, c, _, k in hits if q == 0 and c in rel[0]), None)
 
 
+def test_evaluation_sets(spark):
+    df = spark.createDataFrame([(1, "q1", "p", "c1"), (2, "q2", "p", "c1"), (3, "q3", None, "c2"), (4, "q4", "r", "c3")], "o int, question string, positive string, chunk_id string")
+    for dedup_corpus, n in ((True, 2), (False, 3)):
+        q, c, rel = ir.evaluation_sets(df, ["o"], dedup_corpus=dedup_corpus)
+        assert (q.count(), c.count(), rel.count()) == (3, n, 3)
+        assert sorted((r.question, r.text) for r in q.join(rel, "query_id").join(c, "corpus_id").collect()) == [("q1", "p"), ("q2", "p"), ("q4", "r")]
+
+
+def test_split_check(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "document_id string")
+    parts = df.withColumn("split", F.when(F.col("document_id") == "a", "train").otherwise("test"))
+    assert dedup.check_split(df, parts).first().ok
+    assert not dedup.check_split(df, parts.limit(2)).first().ok
+    assert not dedup.check_split(df, parts.limit(0).unionByName(parts.where("document_id = 'b'")).unionByName(spark.sql("SELECT 'a' AS document_id, 'x' AS split UNION ALL SELECT 'a', 'y'"))).first().ok
+
+
 def test_gain_of_nothing(spark):
     a, b = (spark.createDataFrame(x, "metric string, value double") for x in ([("m", 0.0), ("n", 2.0), ("only", 1.0)], [("m", 1.0), ("n", 3.0)]))
     found = {r.metric: (r.absolute_gain, r.relative_gain) for r in ir.compare(a, b).collect()}

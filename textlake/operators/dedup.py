@@ -94,6 +94,16 @@ def leaked_documents(rows: DataFrame, id: str = "document_id") -> DataFrame:  #
     return rows.groupBy(id).agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
 
 
+def check_split(rows: DataFrame, parts: DataFrame, id: str = "document_id") -> DataFrame:  # noqa: A002
+    """One row: rows and documents before and after a split, documents in several parts, and ok: none
+    lost, none added, none in two parts."""
+    before = rows.agg(F.count("*").alias("rows_before"), F.countDistinct(id).alias("docs_before"))
+    after = parts.agg(F.count("*").alias("rows_after"), F.countDistinct(id).alias("docs_after"))
+    leaked = leaked_documents(parts, id).agg(F.count("*").alias("leaked"))
+    one = before.crossJoin(F.broadcast(after)).crossJoin(F.broadcast(leaked))
+    return one.withColumn("ok", (F.col("rows_before") == F.col("rows_after")) & (F.col("docs_before") == F.col("docs_after")) & (F.col("leaked") == 0))
+
+
 RANGE_ROWS, MOST_RANGES = 1_000_000, 512  # rows ranked by one task, while the ranges suffice
 
 

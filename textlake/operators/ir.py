@@ -5,9 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlake.operators.dedup import keep_first
+
 KS, DEPTH = (1, 3, 5, 10), 10
 
 
+def evaluation_sets(pairs: DataFrame, order: list[str], question: str = "question", positive: str = "positive", chunk_id: str = "chunk_id", dedup_corpus: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, corpus, qrels) of pairs: query_id and question; corpus_id and text; which belong together.
+
+    Pairs with a null in any of the three columns are left out. query_id is a hash of the order
+    columns, which must tell pairs apart. The corpus has each chunk once (its first pair's passage),
+    or, if dedup_corpus is false, one row for each pair, so that equal passages compete.
+    """
+    kept = pairs.dropna(subset=[question, positive, chunk_id]).withColumn("query_id", F.xxhash64(*order))
+    kept = kept.withColumn("corpus_id", F.xxhash64(chunk_id) if dedup_corpus else F.col("query_id"))
+    corpus = keep_first(kept, ["corpus_id"], list(order)) if dedup_corpus else kept
+    return kept.select("query_id", F.col(question).alias("question")), corpus.select("corpus_id", F.col(positive).alias("text")), kept.select("query_id", "corpus_id").distinct()
+
+
 def per_query(hits: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS, depth: int = DEPTH) -> DataFrame:
     """A row for each query with a relevant row: its metrics. hits: query_id, corpus_id, rank; qrels:
     query_id, corpus_id, each pair once."""

@@ -210,6 +210,12 @@ def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.leaked_documents(dedup.with_split(docs, dedup.split_documents(docs, "doc_id"), "doc_id"), "doc_id")
 
 
+@query("SELECT count(*) AS rows_before, count(DISTINCT doc_id) AS docs_before, count(*) AS rows_after, count(DISTINCT doc_id) AS docs_after, 0::BIGINT AS leaked, true AS ok FROM documents")
+def split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return dedup.check_split(docs, dedup.with_split(docs, dedup.split_documents(docs, "doc_id"), "doc_id"), "doc_id")
+
+
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 50)::INT AS batch_id FROM documents")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.assign_batches(table(spark, sf_dir, "documents").select("doc_id"), 50, ["doc_id"])
