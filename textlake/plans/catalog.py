@@ -15,6 +15,7 @@ from textlake.functions import chunks, clean, html, urls
 from textlake.functions.pytext import COLLAPSE, DIGIT, contains_any_sql, literal, strip, strip_sql, words_sql
 from textlake.operators import dedup, ir, passages, profile, retrieval, rules
 from textlake.operators.model_calls import as_messages, generated_pairs
+from textlake.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are to be worked on at length."""
+    return spread(table(spark, sf_dir, name))
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -40,44 +46,44 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(f"SELECT doc_id, {clean.PASSAGE.sql('text')} AS cleaned FROM documents")
 def clean_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_passage("text").alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", clean.clean_passage("text").alias("cleaned"))
 
 
 @query(f"SELECT doc_id, {COLLAPSE.sql('text')} AS cleaned, {clean.normalise_question_sql('text')} AS normalised FROM documents")
 def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_pair_text("text").alias("cleaned"), clean.normalise_question("text").alias("normalised"))
+    return texts(spark, sf_dir).select("doc_id", clean.clean_pair_text("text").alias("cleaned"), clean.normalise_question("text").alias("normalised"))
 
 
 @query(f"SELECT doc_id, {clean.EXTRACTED.sql('text')} AS cleaned FROM documents")
 def clean_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_extracted("text").alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", clean.clean_extracted("text").alias("cleaned"))
 
 
 @query(f"SELECT doc_id, len({words_sql('text')})::INT AS word_count, length(text)::INT AS char_count FROM documents")
 def word_char_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.recount(table(spark, sf_dir, "documents"), "text").select("doc_id", "word_count", "char_count")
+    return passages.recount(texts(spark, sf_dir), "text").select("doc_id", "word_count", "char_count")
 
 
 @query(f"SELECT doc_id, length(text)::INT AS char_count FROM documents WHERE length(text) >= 100 AND len({words_sql('text')}) >= 40")
 def length_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = passages.recount(table(spark, sf_dir, "documents"), "text")
+    docs = passages.recount(texts(spark, sf_dir), "text")
     return docs.where((F.col("char_count") >= passages.LEAST_CHARS) & (F.col("word_count") >= passages.LEAST_WORDS)).select("doc_id", "char_count")
 
 
 @query(f"SELECT doc_id, length(text)::INT AS char_count, substr(text, 1, 1000) AS opening FROM documents WHERE len({words_sql('text')}) > 400")
 def large_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = passages.recount(table(spark, sf_dir, "documents"), "text").where("word_count > 400")
+    docs = passages.recount(texts(spark, sf_dir), "text").where("word_count > 400")
     return docs.select("doc_id", "char_count", F.substring("text", 1, 1000).alias("opening"))
 
 
 @query(f"SELECT doc_id, {clean.strip_intro_sql('text', ('the', 'and'), '[A-Za-z]+', '[a-z]+')} AS stripped FROM documents")
 def intro_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean.strip_intro("text", ("the", "and"), "[A-Za-z]+", "[a-z]+").alias("stripped"))
+    return texts(spark, sf_dir).select("doc_id", clean.strip_intro("text", ("the", "and"), "[A-Za-z]+", "[a-z]+").alias("stripped"))
 
 
 @query(f"SELECT count(*) AS n, count(*) FILTER ({clean.PASSAGE.sql('text')} IS DISTINCT FROM {strip_sql('text')}) AS n_changed FROM documents")
 def cleaner_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.changed(table(spark, sf_dir, "documents"), strip("text"), clean.clean_passage("text"))
+    return profile.changed(texts(spark, sf_dir), strip("text"), clean.clean_passage("text"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN json_valid(props) THEN json_array_length(json_keys(props)::JSON) END::INT AS n_keys FROM events")
@@ -93,7 +99,7 @@ def _listed(e: str) -> str:
 
 
 def _exploded(spark: SparkSession, sf_dir: str, f: Callable) -> DataFrame:
-    return chunks.listed(table(spark, sf_dir, "documents"), f("text"), ["doc_id"], "place", "sentence")
+    return chunks.listed(texts(spark, sf_dir), f("text"), ["doc_id"], "place", "sentence")
 
 
 @query(_listed(chunks.sentences_a_sql("text")))
@@ -120,7 +126,7 @@ made AS (SELECT doc_id, doc_id || '_chunk_' || i AS chunk_id, i::INT AS chunk_in
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", clean.clean_pair_text("text").alias("text"))
+    return texts(spark, sf_dir).select("doc_id", clean.clean_pair_text("text").alias("text"))
 
 
 @query(_CHUNKS + "SELECT doc_id, chunk_id, chunk_index, chunk_text, word_count, char_count FROM (SELECT *, row_number() OVER (PARTITION BY chunk_text ORDER BY doc_id, chunk_index) AS r FROM made) WHERE r = 1 AND word_count >= 40")
@@ -138,13 +144,13 @@ SELECT CASE WHEN w > 400 THEN 'd' || doc_id || '_fix' || i ELSE 'd' || doc_id EN
 
 @query(_RECHUNK)
 def rechunk_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"))
+    docs = texts(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"))
     return passages.rechunk_large(passages.recount(docs)).select("chunk_id", "chunk_text", "word_count", "char_count")
 
 
 @query(f"WITH s AS (SELECT doc_id, {chunks.sentences_c_sql('text')} AS s FROM documents), c AS (SELECT doc_id, {chunks.chunk_chars_sql('s')} AS c FROM s), n AS (SELECT *, unnest(range(len(c))) AS i FROM c) SELECT doc_id, i::INT AS chunk_no, c[i + 1] AS chunk FROM n")
 def chunk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.page_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return passages.page_chunks(texts(spark, sf_dir).select("doc_id", "text"))
 
 
 # duplicates, samples, splits, batches
@@ -310,17 +316,17 @@ _FINAL = f"""CASE WHEN regexp_matches({strip_sql('text')}, '(?i){_BAD}') THEN 'b
 @query(f"SELECT doc_id, {_FINAL} AS reason FROM documents")
 def final_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.first_reason(rules.final_rules("text", "text", _BAD, ("the.", "la."), "euro|dollar|license"))
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("reason"))
+    return texts(spark, sf_dir).select("doc_id", found.alias("reason"))
 
 
 @query(f"SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '(?i){_BAD}')")
 def keyword_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(f"(?iu){_BAD}")).select("doc_id")
+    return texts(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(f"(?iu){_BAD}")).select("doc_id")
 
 
 @query(f"SELECT doc_id, round(len(regexp_extract_all(text, {literal(DIGIT)}))::DOUBLE / length(text), 9) AS digit_ratio FROM documents")
 def digit_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(clean.digit_ratio("text"), 9).alias("digit_ratio"))
+    return texts(spark, sf_dir).select("doc_id", F.round(clean.digit_ratio("text"), 9).alias("digit_ratio"))
 
 
 _FLAGGED = "SELECT d.doc_id, quality = 1 AS reusable, true AS question_answer_match, toxic = 1 AS person_specific, d.lang = 'es' AS agriculture, false AS identity_lookup, d.text LIKE '%@%' AS contact_information, false AS navigation_or_metadata, d.text LIKE '%###%' AS encoding_problem FROM documents d LEFT JOIN labels l USING (doc_id)"
@@ -366,12 +372,12 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.page_info()["title"].alias("title"))
+    return texts(spark, sf_dir, "pages").select("page_id", html.page_info()["title"].alias("title"))
 
 
 @query()
 def html_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "pages").select("page_id", html.page_info().alias("p"))
+    found = texts(spark, sf_dir, "pages").select("page_id", html.page_info().alias("p"))
     return found.select("page_id", "p.title", "p.description", F.array_join("p.pdf_links", "\n").alias("pdf_links"), clean.clean_extracted("p.content").alias("content"))
 
 
@@ -390,7 +396,7 @@ def triage_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, {contains_any_sql('url', urls.JUNK)} AS junk, {contains_any_sql(chr(39) + chr(39) + ' || url', urls.FAQ)} AS faq FROM pages")
 def skip_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", urls.is_junk_url("url").alias("junk"), urls.is_faq("url").alias("faq"))
+    return texts(spark, sf_dir, "pages").select("page_id", urls.is_junk_url("url").alias("junk"), urls.is_faq("url").alias("faq"))
 
 
 @query("SELECT DISTINCT source, substr(text, 1, 40) AS title FROM documents")
@@ -507,7 +513,7 @@ def after_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'd' || doc_id AS chunk_id, q AS question, text AS positive FROM documents, (VALUES ('what'), ('who'), ('why')) t(q)")
 def question_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"))
+    docs = texts(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("text").alias("chunk_text"))
     said = F.concat(F.lit('```json\n[{"chunk_id": "'), F.col("chunk_id"), F.lit('", "questions": [" what", "why ", "who", "", "what"]}, {"chunk_id": "none", "questions": ["a", "b", "c"]}]\n```'))
     return generated_pairs(docs.select(said.alias("response")), docs).select("chunk_id", "question", "positive")
 

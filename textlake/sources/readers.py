@@ -17,6 +17,13 @@ PASSAGES = "chunk_id string, document_id string, chunk_index int, title string,
 PAIRS = "question string, positive string, chunk_id string, document_id string, title string, domain string, language string, source string, url string"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, if its files give fewer, so that costly
+    expressions do not run in one task. Tables whose splits outnumber the cores stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def csv(spark: SparkSession, path: str, schema: str, keep_blanks: bool = False) -> DataFrame:
     """CSV with a header, quoted fields over several lines, with or without a BOM. Blanks are null, or
     empty texts if keep_blanks."""
