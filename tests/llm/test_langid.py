@@ -7,7 +7,10 @@ import pytest
 
 from textlake.llm import langid
 
-from .cases import empty, odd
+from pyspark.sql import functions as F
+from textlake.llm.common import hash_u63
+
+from .cases import empty, odd, prose
 
 TEXTS = {
     "en": ["the cat sat on the mat and the dog sat on the log", "there is the other thing that they thought", "in the end the weather was rather better than the other day"] * 2,
@@ -123,3 +126,17 @@ def test_ties_go_to_the_first(spark):
     twin = langid.fit({"b": TEXTS["en"], "a": TEXTS["en"]}, {})
     df = spark.createDataFrame([(1, "the cat sat on the mat")], "doc_id bigint, text string")
     assert langid.identify(df, twin).first().lang == "a"
+
+
+def test_copies_leave_the_sample_whole(spark, monkeypatch):
+    few = [f"{TEXTS['de'][k % 3]} {'abcdefghij'[k]}" for k in range(10)]
+    data = [(t, "de") for t in few for _ in range(900)] + [(f"  {' ' * k}", "de") for k in range(900)]
+    data += [(f"{prose(k, 8)} {TEXTS['en'][k % 3]}", "en") for k in range(900)]
+    df = spark.createDataFrame(data, "text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, held: seen.update(texts=texts, held=held))
+    langid.train(df, max_docs=20, max_held_out=10)
+    assert sorted(seen["texts"]["de"] + seen["held"]["de"]) == sorted(few)
+    h = {r.text: r.h for r in df.withColumn("h", hash_u63(F.col("text"), seed=7)).where("lang = 'en'").collect()}
+    assert sorted(seen["texts"]["en"] + seen["held"]["en"]) == sorted(sorted(h, key=h.get)[:30])
+    assert (len(seen["texts"]["en"]), len(seen["held"]["en"])) == (20, 10)

@@ -223,16 +223,15 @@ def train(docs: DataFrame, label: str = "lang", max_docs: int = 400, max_held_ou
     """Fit on at most max_docs labelled texts of each language, calibrate on max_held_out others.
 
     The sample is the distinct texts with the lowest hashes, so it does not depend on the layout.
-    Rows with a null or blank label or text are left out. None if nothing is left. Hashes under a
-    language's share of its rows are looked at first (four times as many as are wanted), so that
-    what is moved is the sample, however large the table.
+    Rows with a null or blank label or text are left out. None if nothing is left. The hashes of
+    each language's distinct texts are ranked first, whatever the number of copies; only the texts
+    of the chosen hashes are moved.
     """
-    rows = docs.select(F.col(label).cast("string").alias("l"), text_or_empty().alias("t")).where("trim(l) <> ''")
+    rows = docs.select(F.col(label).cast("string").alias("l"), text_or_empty().alias("t")).where("trim(l) <> '' and trim(t) <> ''").withColumn("h", hash_u63("t", seed=seed))
     wanted = max_docs + max_held_out
-    share = cut(rows.groupBy("l").agg(F.count("*").alias("n")).select("l", F.least(F.lit(1.0), F.lit(4.0 * wanted) / F.col("n")).alias("share")))
-    low = rows.select("l", "t", hash_u63("t", seed=seed).alias("h")).join(small_side(share), "l").where((F.col("share") >= 1) | (F.col("h") < F.col("share") * F.lit(2.0**63))).where("trim(t) <> ''")
-    w = Window.partitionBy("l").orderBy("h", "t")
-    rows = low.groupBy("l", "h").agg(F.min("t").alias("t")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= wanted)
+    w = Window.partitionBy("l").orderBy("h")
+    chosen = cut(rows.select("l", "h").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= wanted))
+    rows = rows.join(small_side(chosen), ["l", "h"]).groupBy("l", "r").agg(F.min("t").alias("t"))
     texts: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for x in sorted(rows.collect(), key=lambda x: (x.l, x.r)):
