@@ -140,3 +140,20 @@ def test_copies_leave_the_sample_whole(spark, monkeypatch):
     h = {r.text: r.h for r in df.withColumn("h", hash_u63(F.col("text"), seed=7)).where("lang = 'en'").collect()}
     assert sorted(seen["texts"]["en"] + seen["held"]["en"]) == sorted(sorted(h, key=h.get)[:30])
     assert (len(seen["texts"]["en"]), len(seen["held"]["en"])) == (20, 10)
+
+
+def test_wrong_labels_do_not_move_the_limits(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").select("text").distinct().collect()
+    good = sorted(r.text for r in docs)
+    other = lambda a, k: "".join(chr(a + ord(c) % 32) if c.isalpha() else c for c in prose(k, 60, 400))
+    half = len(good) // 2
+    noisy = good[:half] + [other(0x430, k) for k in range(half // 25)]
+    assert not any("о" in t for t in langid.trusted(noisy)) and len(langid.trusted(noisy)) > 0.97 * half
+    trained = spark.createDataFrame([(t, "en") for t in good + [other(0x430, k) for k in range(len(good) // 25)]], "text string, lang string")
+    assert not langid.decide(langid.train(trained), pa.array([other(0x430, 900 + k) for k in range(20)]))["ok"].any()
+    clean = langid.fit({"en": good[:half]}, {"en": good[half:]})
+    bad = max(1, (len(good) - half) // 25)  # 4 %
+    for a in (0x430, 0x5D0, 0x3B1):
+        model = langid.fit({"en": good[:half]}, {"en": good[half:] + [other(a, k) for k in range(bad)]})
+        assert np.allclose(model.limit, clean.limit, rtol=0.05) and np.allclose(model.ceiling, clean.ceiling, rtol=0.05)
+        assert not langid.decide(model, pa.array([other(a, 900 + k) for k in range(20)]))["ok"].any()

@@ -4,7 +4,8 @@ One model per language over the letters of words (a word starts and ends with a
 5. All models share one sorted array of n-gram hashes per order, with a row of discounted
 probabilities and of back-off weights, one column per language. A text goes to the language with the
 lowest cross-entropy per character; it is rejected (language "und") if it has no letters or if that
-cross-entropy lies too far above what held-out texts of the language show, given its length.
+cross-entropy lies too far above what held-out texts of the language show, given its length. The
+limits come from a quantile of those texts, so a share of wrong labels among them does not move them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from textlake.llm.common import cut, hash_u63, slices, small_side, spaced_units,
 
 ORDER = 5
 UNKNOWN = "und"
+CLEAN = 0.9  # the part of held-out texts, the likest to their language, that sets the limits of rejection
 _ALPHABET = 4096  # the uniform distribution under the unigrams: letters in use, generously
 _ROWS = 1 << 18  # character positions scored at once
 _R = np.random.default_rng(20240607).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,10 +179,13 @@ def score(model: Model, col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np
 def _calibrate(model: Model, held_out: dict[str, list[str]], texts: dict[str, list[str]]) -> Model:
     langs = len(model.languages)
     model.mean, model.var_char, model.var_text, model.limit, model.ceiling = (np.zeros(langs) for _ in range(5))
+    last = None
     for k, lang in enumerate(model.languages):
-        col = pa.array(held_out.get(lang) or texts[lang], pa.large_string())
-        units, pieces, off = spaced_units(letters(col))
-        bits, squares, chars = _score_units(model, units)
+        own = held_out.get(lang) or texts[lang]
+        if own is not last:  # one list may serve all
+            units, pieces, off = spaced_units(letters(pa.array(own, pa.large_string())))
+            bits, squares, chars = _score_units(model, units)
+            last = own
         n = _sums(chars[pieces], off)
         has = n > 0
         ce, within = _sums(bits[pieces][:, k], off)[has] / n[has], _sums(squares[pieces][:, k], off)[has] / n[has]
@@ -192,8 +197,8 @@ def _calibrate(model: Model, held_out: dict[str, list[str]], texts: dict[str, li
         model.var_char[k] = 3 * max(1e-6, float(np.average(within, weights=n[has]) - np.average(ce, weights=n[has]) ** 2))
         model.var_text[k] = (1.4826 * np.median(np.abs(ce - model.mean[k]))) ** 2
         z = (ce - model.mean[k]) / np.sqrt(model.var_char[k] / n[has] + model.var_text[k] + 1e-9)
-        model.limit[k] = max(8.0, 1.5 * float(z.max()))
-        model.ceiling[k] = max(3 * model.mean[k], 1.5 * float(ce.max()))
+        model.limit[k] = max(8.0, 1.5 * float(np.quantile(z, CLEAN)))
+        model.ceiling[k] = max(3 * model.mean[k], 1.5 * float(np.quantile(ce, CLEAN)))
     return model
 
 
@@ -219,6 +224,25 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(b, size=8_000_000)
 
 
+def trusted(texts: list[str], parts_of: int = 10) -> list[str]:
+    """texts without those that a model of a few of the others finds to be no text of the language.
+
+    Wrong labels are a small part, so that of ten models of ten texts each some have seen none; what
+    lies beyond the limits of any of them is out. Lists of under 40 texts stay as they are.
+    """
+    if len(texts) < 4 * parts_of:
+        return texts
+    few = {str(k): texts[k::parts_of][:10] for k in range(parts_of)}
+    model = fit(few, dict.fromkeys(few, texts))
+    if model is None:
+        return texts
+    ce, n = score(model, pa.array(texts, pa.large_string()))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = (ce - model.mean) / np.sqrt(model.var_char / n[:, None] + model.var_text + 1e-9)
+    out = (n > 0) & ((z > model.limit) | (ce > model.ceiling)).any(1)
+    return [t for t, x in zip(texts, out) if not x]
+
+
 def train(docs: DataFrame, label: str = "lang", max_docs: int = 400, max_held_out: int = 200, seed: int = 7) -> Model | None:
     """Fit on at most max_docs labelled texts of each language, calibrate on max_held_out others.
 
@@ -236,7 +260,7 @@ def train(docs: DataFrame, label: str = "lang", max_docs: int = 400, max_held_ou
     held: dict[str, list[str]] = {}
     for x in sorted(rows.collect(), key=lambda x: (x.l, x.r)):
         (texts if x.r % 3 != 0 or x.r > 3 * max_held_out else held).setdefault(x.l, []).append(x.t)
-    return fit(texts, held) if texts else None
+    return fit({k: trusted(x) for k, x in texts.items()}, held) if texts else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
