@@ -113,3 +113,24 @@ def test_siblings_merge_unless_labels_differ():
     assert set(ut.templates(unlike).values()) == {"/en/{n}", "/spam/{n}"}
     deeper = [(("en", "{n}"), 50, 0, 0), (("en2", "a", "{n}"), 50, 0, 0)]
     assert len(set(ut.templates(deeper).values())) == 2
+
+
+def test_small_sections_are_judged_by_themselves(spark):
+    name = lambda k: f"sec{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    urls = [(k, j, f"http://h/{name(k)}/{k * 100 + j}") for k in range(60) for j in range(10)]
+    urls += [(k, j, "http://deep/" + "/".join("abcdefghi") + f"/{name(k)}/{100_000 + k * 100 + j}") for k in range(2) for j in range(20)]
+    pages = [(i, u, "") for i, (_, _, u) in enumerate(urls)]
+    labels = [(int(u.rpartition("/")[2]), k % 2, 0) for k, _, u in urls]
+    found = {r[1]: r for r in ours(spark, pages, labels)}
+    assert all(found[u][7] == bool(k % 2) for k, _, u in urls)
+    assert {found[u][5] for _, _, u in urls if "//h/" in u} == {300}
+
+
+def test_wide_nodes_keep_unlike_labels_apart():
+    shapes = [((f"u{k}", f"p{k % 7}", "{n}"), 20 + k % 5, 10 * (k % 3 > 0), (k % 2) * 10 * (k % 3 > 0)) for k in range(300)]
+    found = ut.templates(shapes)
+    assert len(found) == 300
+    rates = {}
+    for s, n, labelled, good in shapes:
+        rates.setdefault(found[s], set()).update({good / labelled} if labelled else ())
+    assert all(len(x) <= 1 for x in rates.values())

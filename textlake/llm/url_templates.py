@@ -1,14 +1,15 @@
 """URL filters by a path-template tree.
 
 Per host, the path segments of all URLs form a tree. A segment that looks variable (a number, a
-date, an identifier) becomes a wildcard of its kind; below each node, children that too small a part
-of its URLs take become the wildcard "*". Siblings whose children are spread alike and whose labels
+date, an identifier) becomes a wildcard of its kind; below each node, children that are a small part
+of its URLs, and have too few URLs and labels to be told apart, become the wildcard "*". Beyond 8
+segments, what follows a path of so few URLs and labels becomes "**". Siblings whose children are spread alike and whose labels
 do not differ significantly are merged. Each root-to-leaf path that remains is a template; those
 whose share of good labels, smoothed towards the host's and the host's towards the whole, is too low
 are rejected.
 
-Only counts of distinct shapes are ever grouped; after the rare children have gone a node has at
-most 1 / min_share + 5 children, so the tree of one host fits one task however many URLs it has.
+Only counts of distinct shapes are ever grouped. The tree of one host is merged in one task; its
+nodes are those of at least MIN_URLS URLs, MIN_LABELS labels or min_share of their parent.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from textlake.llm.common import cut
 
 MIN_SHARE, MAX_DEPTH = 0.02, 8
+MIN_URLS, MIN_LABELS = 8, 2  # a branch of so many is judged by itself, however small a part it is
 SMOOTHING, MIN_PURITY = 8.0, 0.6
 SPREAD, SIGNIFICANCE = 0.05, 2.58  # largest Jensen-Shannon divergence (bits) and |z| of what is alike
 _EXT = r"(\.[A-Za-z][A-Za-z0-9]{0,4})?"
@@ -40,8 +42,8 @@ def host_of(url: Column) -> Column:
     return F.coalesce(found, F.lit(""))
 
 
-def segments_of(url: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """The path's segments, variable ones as wildcards of their kind; "**" stands for all beyond max_depth."""
+def segments_of(url: Column) -> Column:
+    """The path's segments, variable ones as wildcards of their kind."""
     path = F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
@@ -52,8 +54,7 @@ def segments_of(url: Column, max_depth: int = MAX_DEPTH) -> Column:
             out = F.when(s.rlike(pattern), wild) if out is None else out.when(s.rlike(pattern), wild)
         return out.otherwise(s)
 
-    deep = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("**")))).otherwise(parts)
-    return F.transform(deep, kind)
+    return F.transform(parts, kind)
 
 
 def labelled_number(url: Column) -> Column:
@@ -107,16 +108,35 @@ def merge(node: Node) -> None:
     for x in node.below.values():
         merge(x)
     leaders: list[Node] = []
+    having: dict[str, set[int]] = {}  # the leaders that have or had a child of the name
     for k, x in sorted(node.below.items(), key=lambda i: (-i[1].n, i[0])):
         x.names = x.names or {k}
-        for lead in leaders:
-            if alike(lead, x):
-                lead.add(x)
-                merge_names(lead)
+        for i in sorted(set().union(*(having.get(c, ()) for c in telling(x)))):
+            if alike(leaders[i], x):
+                leaders[i].add(x)
+                merge_names(leaders[i])
                 break
         else:
+            i = len(leaders)
             leaders.append(x)
-    node.below = {label(x.names): x for x in leaders}
+        for c in leaders[i].spread():
+            having.setdefault(c, set()).add(i)
+    node.below = {}
+    for x in leaders:
+        name = label(x.names)
+        node.below[name if name not in node.below else f"*({min(x.names)}..)"] = x
+
+
+def telling(x: Node) -> list[str]:
+    """The least children of which a sibling must have one to be alike: distributions of a divergence
+    up to SPREAD bits differ by at most sqrt(2 ln 2 SPREAD) in any set's share (Pinsker)."""
+    out, mass = [], 0.0
+    for c, share in sorted(x.spread().items(), key=lambda i: (-i[1], i[0])):
+        out.append(c)
+        mass += share
+        if mass > math.sqrt(2 * math.log(2) * SPREAD) + 1e-9:
+            break
+    return out
 
 
 def merge_names(node: Node) -> None:
@@ -124,7 +144,7 @@ def merge_names(node: Node) -> None:
     grouped: dict[str, Node] = {}
     for k, x in node.below.items():
         x.names = x.names or {k}
-        grouped.setdefault(label(x.names), Node()).add(x)
+        grouped.setdefault(k if k.startswith("*(") else label(x.names), Node()).add(x)
     node.below = grouped
 
 
@@ -147,10 +167,20 @@ def templates(shapes: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tuple
         at.here += n
     merge(root)
     out = {}
+    branch: dict[int, dict[str, tuple[str, Node]]] = {}  # by node: where each segment leads
+
+    def branches(at: Node) -> dict[str, tuple[str, Node]]:
+        if id(at) not in branch:
+            branch[id(at)] = {}
+            for k, x in sorted(at.below.items()):
+                for s in (*x.names, k):
+                    branch[id(at)].setdefault(s, (k, x))
+        return branch[id(at)]
+
     for segments, *_ in shapes:
         at, path = root, []
         for s in segments:
-            name, at = next((k, x) for k, x in sorted(at.below.items()) if s in x.names or k == s)
+            name, at = branches(at)[s]
             path.append(name)
         out[segments] = "/" + "/".join(path)
     return out
@@ -158,17 +188,25 @@ def templates(shapes: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tuple
 
 def _generalised(shapes: DataFrame, min_share: float) -> DataFrame:
     """host, segs, n, labelled, good with gsegs, in which rare children are "*"."""
-    depth = shapes.agg(F.max(F.size("segs"))).first()[0] or 0
-    now = shapes.withColumn("gsegs", F.array().cast("array<string>"))
-    for d in range(depth):
-        child = F.when(F.size("segs") > d, F.get("segs", F.lit(d)))
+    now = shapes.withColumns({"gsegs": F.array().cast("array<string>"), "open": F.lit(True)})
+    d, depth = 0, shapes.agg(F.max(F.size("segs"))).first()[0] or 0
+    few = (F.col("t") < MIN_URLS) & (F.col("k") < MIN_LABELS)
+    while d < depth:
+        total = now.groupBy("host", "gsegs").agg(F.sum("n").alias("t"), F.sum("labelled").alias("k"))
+        child = F.when(F.col("open") & (F.size("segs") > d), F.get("segs", F.lit(d)))
         deep = now.withColumn("child", child)
-        count = deep.where("child is not null").groupBy("host", "gsegs", "child").agg(F.sum("n").alias("c"))
-        total = now.groupBy("host", "gsegs").agg(F.sum("n").alias("t"))
-        kept = count.join(total, ["host", "gsegs"]).where((F.col("c") >= min_share * F.col("t")) | F.col("child").isin("{n}", "{date}", "{id}", "**")).select("host", "gsegs", "child", F.lit(True).alias("kept"))
+        if d >= MAX_DEPTH:
+            deep = deep.join(total, ["host", "gsegs"]).withColumn("open", F.col("child").isNotNull() & ~few)
+            deep = deep.withColumn("child", F.when(F.col("child").isNotNull() & few, "**").otherwise(F.col("child"))).drop("t", "k")
+        count = deep.where("child is not null").groupBy("host", "gsegs", "child").agg(F.sum("n").alias("c"), F.sum("labelled").alias("l"))
+        enough = (F.col("c") >= min_share * F.col("t")) | (F.col("c") >= MIN_URLS) | (F.col("l") >= MIN_LABELS)
+        kept = count.join(total, ["host", "gsegs"]).where(enough | F.col("child").isin("{n}", "{date}", "{id}", "**")).select("host", "gsegs", "child", F.lit(True).alias("kept"))
         name = F.when(F.col("child").isNull(), F.array().cast("array<string>")).when(F.col("kept"), F.array("child")).otherwise(F.array(F.lit("*")))
         now = cut(deep.join(kept, ["host", "gsegs", "child"], "left").withColumn("gsegs", F.concat("gsegs", name)).drop("child", "kept"))
-    return now
+        d += 1
+        if d > MAX_DEPTH:
+            depth = now.where("open").agg(F.max(F.size("segs"))).first()[0] or 0
+    return now.drop("open")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, url: str = "url", id: str = "page_id", min_share: float = MIN_SHARE, smoothing: float = SMOOTHING, min_purity: float = MIN_PURITY) -> DataFrame:  # noqa: A002
