@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textlake.llm import langid, mixing, ngram_join, sentencepiece_sa
 from textlake.llm.common import cut, load
-from textlake.llm.queries import SOURCE_WEIGHTS
+from textlake.llm.queries import MIX_LEAST_SHARE, SOURCE_WEIGHTS
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for the sources' weights, each shard's together in its shuffled order."""
-    mixed = mixing.mix_sources(docs, SOURCE_WEIGHTS).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_pos")
+    mixed = mixing.mix_sources(docs, SOURCE_WEIGHTS, least_share=MIX_LEAST_SHARE)
+    mixed = mixed.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_pos")
     return mixed.drop("mix_shard", "mix_pos")
 
 

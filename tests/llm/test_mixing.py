@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
-from textlake.llm import mixing
+import corpus_pipeline
+from textlake.llm import mixing, queries
 
 from .cases import empty, odd, rows
 
@@ -95,3 +96,22 @@ def test_odd_rows(spark):
     assert mixing.mix_sources(empty(spark)).collect() == []
     twice = [(r.doc_id, r.mix_shard) for r in mixing.mix_sources(df, block_docs=1, docs_per_shard=1).where("doc_id = 2").collect()]
     assert len(set(twice)) <= 1  # repeated rows stay together
+
+
+def test_a_scarce_source_does_not_shrink_the_rest(spark):
+    blocks, weights = np.array([100, 100, 1, 0, 7]), np.array([2.0, 1.0, 1.0, 1.0, 0.0])
+    assert mixing.block_quotas(blocks, weights).tolist() == [2, 1, 1, 0, 0]
+    assert mixing.block_quotas(blocks, weights, 100).tolist() == [66, 33, 1, 0, 0]
+    assert mixing.block_quotas(blocks, weights, 190).tolist() == [100, 89, 1, 0, 0]
+    assert mixing.block_quotas(blocks, weights, 999).tolist() == [100, 100, 1, 0, 0]
+    sizes = {"src0": 400, "src1": 400, "tiny": 1, None: 1}
+    out = Counter(r.source for r in mixing.mix_sources(made(spark, sizes), queries.SOURCE_WEIGHTS, least_share=queries.MIX_LEAST_SHARE).collect())
+    assert out["tiny"] == out[None] == 1
+    assert sum(out.values()) >= 350 and 1.5 < out["src0"] / out["src1"] < 2.6
+
+
+def test_the_query_and_the_stage_draw_half_at_least(spark, tmp_path):
+    docs = made(spark, {"src0": 400, "src1": 400, "tiny": 1, None: 1})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.QUERIES["op2_mix_sources"](spark, str(tmp_path)).count() >= 350
+    assert corpus_pipeline.mix(spark, docs, str(tmp_path)).count() >= 350

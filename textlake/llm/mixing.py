@@ -23,15 +23,25 @@ MAX_SOURCES = 100_000  # the plan is made on the driver and sent to every task:
 MAX_CELLS = 50_000_000
 
 
-def block_quotas(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def block_quotas(blocks: np.ndarray, weights: np.ndarray, least: int = 0) -> np.ndarray:
     """The blocks to take from each source: shares as the weights, the total as large as the
-    supply allows, whole by largest remainders (ties to the first source)."""
+    supply allows, whole by largest remainders (ties to the first source). If that total is under
+    least, it is least (or all there is): sources that cannot meet their share give all they have,
+    and the rest is spread over the others by weight."""
     w = np.where(blocks > 0, np.maximum(weights, 0), 0).astype(float)
     if not w.sum():
         return np.zeros(len(blocks), np.int64)
     w /= w.sum()
     total = int(np.floor((blocks[w > 0] / w[w > 0]).min() + 1e-9))
-    exact = w * total
+    total = max(total, min(least, int(blocks[w > 0].sum())))
+    full = np.zeros(len(blocks), bool)
+    while True:
+        spread = np.where(full, 0, w)
+        exact = np.where(full, blocks, spread / max(spread.sum(), 1e-300) * (total - int(blocks[full].sum())))
+        over = ~full & (exact > blocks + 1e-9)
+        if not over.any():
+            break
+        full |= over
     q = np.floor(exact + 1e-9).astype(np.int64)
     rest = total - int(q.sum())
     order = np.argsort(-(exact - q), kind="stable")
@@ -90,12 +100,15 @@ def mix_sources(
     block_docs: int = 8,
     docs_per_shard: int = 4096,
     seed: int = 11,
+    least_share: float = 0.0,
 ) -> DataFrame:
     """The drawn rows of docs, all their columns, and mix_shard and mix_pos (from 0, within it).
 
     A source's share of the drawn blocks is its weight's, exactly up to rounding; blocks hold
     block_docs documents on average, so shares of documents follow closely. The total is the largest
-    at which no source gives more than it has. A null source is a source of its own, named "" in
+    at which no source gives more than it has, or least_share of the blocks of the sources with a
+    weight if that is more; then sources too small for their share give all they have, and the
+    others make up for them by weight. A null source is a source of its own, named "" in
     weights along with the empty one. Sources of weight 0 or less give nothing; if all do, or docs is
     empty, no rows result. Repeated rows fall into one block and are kept or dropped together; their
     order is a tie between equal rows. Null or empty texts are documents like others. A column named
@@ -109,7 +122,8 @@ def mix_sources(
         raise ValueError(f"over {MAX_SOURCES} sources: group them first")
     names = [x.s for x in found]
     blocks = np.array([-(-x["count"] // block_docs) for x in found], np.int64)
-    quotas = block_quotas(blocks, np.array([(weights or {}).get(s, default_weight) for s in names]))
+    weight = np.array([(weights or {}).get(s, default_weight) for s in names])
+    quotas = block_quotas(blocks, weight, int(np.ceil(least_share * int(blocks[weight > 0].sum()) - 1e-9)))
     shards = max(1, -(-int(quotas.sum()) * block_docs // docs_per_shard))
     if shards * len(names) > MAX_CELLS:
         raise ValueError(f"over {MAX_CELLS} cells of sources x shards: raise docs_per_shard")

@@ -13,6 +13,9 @@ from textlake.llm.common import load
 #: Twice the weight for the largest source, one for each other.
 SOURCE_WEIGHTS = {"src0": 2.0}
 
+#: At least this part of the documents is drawn, however small the scarcest source.
+MIX_LEAST_SHARE = 0.5
+
 #: Three regions of unlike capacity; the weights are those of the shards.
 SHARD_TREE: sharding.Tree = {
     "east": {"r1": {"s1": 4.0, "s2": 4.0, "s3": 2.0}, "r2": {"s1": 4.0, "s2": 4.0}},
@@ -26,7 +29,7 @@ def op1_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(load(spark, sf_dir, "documents"), SOURCE_WEIGHTS)
+    return mixing.mix_sources(load(spark, sf_dir, "documents"), SOURCE_WEIGHTS, least_share=MIX_LEAST_SHARE)
 
 
 def op3_embedding_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
