@@ -18,8 +18,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return ngram_join.keep_one_of_each(docs)
+    """One document of each group of near copies, whatever ids they share."""
+    return ngram_join.keep_one_of_each(docs, by_text=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from textlake.llm import ngram_join as nj
 from textlake.llm.components import connected_components
@@ -135,3 +136,15 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a bigint, b bigint")
     assert {r.node: r.component for r in connected_components(df).collect()} == {k: root(k) for k in parent}
     assert connected_components(df.limit(0)).collect() == []
+
+
+def test_texts_under_one_id_are_no_copies(spark):
+    a, b, c, d = (prose(k, 60) for k in (1, 2, 3, 4))
+    data = [(1, a), (1, b), (1, None), (1, ""), (2, c), (2, a), (2, c), (3, b + " more"), (3, d), (4, d + " !"), (5, a), (None, a)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    stays = sorted([(1, a), (1, b), (1, None), (1, ""), (2, c), (3, d), (None, a)], key=repr)
+    assert rows(corpus_pipeline.drop_near_copies(spark, df, "")) == stays
+    kept = corpus_pipeline.drop_near_copies(spark, odd(spark), "")
+    assert kept.columns == odd(spark).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, 6, None, None, 7, 8, 8, 9], key=repr)
+    assert corpus_pipeline.drop_near_copies(spark, empty(spark), "").collect() == []

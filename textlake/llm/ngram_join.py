@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textlake.llm.common import cut, flat_utf8, fresh, partitions_for, slices, small_side, string_array, text_or_empty
 from textlake.llm.components import connected_components
@@ -260,19 +261,45 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     return both.where("not many").drop("many").unionByName(again)
 
 
-def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def _with_class(docs: DataFrame, name: str, n: int) -> DataFrame:
+    """docs with the class of each row's text, null if it has no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                _, off, words = grams(b.column("text"), n)
+                yield pa.record_batch([*b.columns, pa.array(words.astype(np.int64), mask=np.diff(off) == 0)], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
+def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, by_text: bool = False) -> DataFrame:
     """docs with one document of each group of near copies, the one with the least doc_id.
 
-    Groups are the connected components of ngram_jaccard_join. Of rows that share a doc_id the one
-    with the least text is looked at, the others go. Rows with a null doc_id, or a text without words, stay as they are.
+    Groups are the connected components of ngram_jaccard_join. Rows with a null doc_id, or a text
+    without words, stay as they are. Of rows that share a doc_id the one with the least text is
+    looked at, the others go; but with by_text each text under such an id is a document of its own,
+    and goes only if its words are those of, or near to, a text that stays.
     """
     key, gone_name, twice_name, nth = F.col("doc_id").cast("bigint"), fresh(docs, "__gone"), fresh(docs, "__twice"), fresh(docs, "__nth")
     twice = cut(docs.select(key.alias(twice_name)).where(F.col(twice_name).isNotNull()).groupBy(twice_name).count().where("count > 1").select(twice_name))
-    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    again = docs.join(small_side(twice), key == F.col(twice_name), "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
-    single = docs.join(small_side(twice), key == F.col(twice_name), "left_anti").unionByName(again)
-    members, pairs = class_pairs(single, n, threshold, recall)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    again = docs.join(small_side(twice), key == F.col(twice_name), "left_semi")
+    single = docs.join(small_side(twice), key == F.col(twice_name), "left_anti")
+    if not by_text:
+        first = Window.partitionBy("doc_id").orderBy("text", row)
+        single = single.unionByName(again.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth))
+    members, pairs = class_pairs(docs if by_text else single, n, threshold, recall)
     group = connected_components(pairs)
-    whole = members.join(group, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("component", "class").alias("c"))
-    gone = cut(whole.select(F.col("doc_id").alias(gone_name), F.min("doc_id").over(Window.partitionBy("c")).alias("stays")).where(F.col(gone_name) != F.col("stays")).select(gone_name))
-    return single.join(small_side(gone), key == F.col(gone_name), "left_anti")
+    whole = members.join(group, F.col("class") == F.col("node"), "left").select("doc_id", "class", F.coalesce("component", "class").alias("c"))
+    if not by_text:
+        gone = cut(whole.select(F.col("doc_id").alias(gone_name), F.min("doc_id").over(Window.partitionBy("c")).alias("stays")).where(F.col(gone_name) != F.col("stays")).select(gone_name))
+        return single.join(small_side(gone), key == F.col(gone_name), "left_anti")
+    class_name, gone_class = fresh(docs, "__class"), fresh(docs, "__gone_class")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("doc_id", "class"))
+    gone = cut(whole.withColumn("place", place).where("place > 1").select(F.col("doc_id").alias(gone_name), F.col("class").alias(gone_class)))
+    single = single.join(small_side(gone), key == F.col(gone_name), "left_anti")
+    same = Window.partitionBy("doc_id", class_name).orderBy("text", row)
+    again = _with_class(again, class_name, n).withColumn(nth, F.row_number().over(same)).where(F.col(class_name).isNull() | (F.col(nth) == 1)).drop(nth)
+    again = again.join(small_side(gone, 2), (key == F.col(gone_name)) & (F.col(class_name) == F.col(gone_class)), "left_anti").drop(class_name)
+    return single.unionByName(again)
