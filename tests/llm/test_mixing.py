@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
-import corpus_pipeline
 from textlake.llm import mixing, queries
 
 from .cases import empty, odd, rows
@@ -110,8 +109,7 @@ def test_a_scarce_source_does_not_shrink_the_rest(spark):
     assert sum(out.values()) >= 350 and 1.5 < out["src0"] / out["src1"] < 2.6
 
 
-def test_the_query_and_the_stage_draw_half_at_least(spark, tmp_path):
+def test_the_query_draws_half_at_least(spark, tmp_path):
     docs = made(spark, {"src0": 400, "src1": 400, "tiny": 1, None: 1})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.QUERIES["op2_mix_sources"](spark, str(tmp_path)).count() >= 350
-    assert corpus_pipeline.mix(spark, docs, str(tmp_path)).count() >= 350
