@@ -84,18 +84,20 @@ SELECT doc_id, sha256('R' || array_to_string(sections, '')) AS root, len(section
 OP9_SQL = sharding.assign_sql(SHARD_TREE, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
 
 OP10_SQL = f"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x00-/:-@\\[-`{{-\\x7f]+'), lambda x: x <> '') AS w FROM documents
 ), grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM words
 ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-both_have AS (
-  SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, round(k / (x.n + y.n - k)::DOUBLE, 9) AS jaccard
-FROM both_have JOIN sizes x ON doc_a = x.doc_id JOIN sizes y ON doc_b = y.doc_id
-WHERE k / (x.n + y.n - k)::DOUBLE >= {ngram_join.THRESHOLD}
+both_have AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM both_have JOIN sizes s ON x = s.doc_id JOIN sizes t ON y = t.doc_id WHERE k / (s.n + t.n - k)::DOUBLE >= {ngram_join.THRESHOLD}
+), reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, y FROM reach JOIN links ON r = x),
+classes AS (SELECT d, min(r) AS class_id FROM reach GROUP BY d),
+copies AS (SELECT w, count(*) - 1 AS n_copies FROM words WHERE len(w) > 0 GROUP BY w), degree AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM words JOIN classes ON doc_id = d LEFT JOIN copies USING (w) LEFT JOIN degree ON doc_id = x
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
