@@ -33,7 +33,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors.near_pairs(load(spark, sf_dir, "embeddings"))
+    return near_vectors.near_links(load(spark, sf_dir, "embeddings"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,10 +66,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = f"""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v)
-SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_inner_product(a.x, b.x) / (a.n * b.n), 9) AS cosine
-FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= {near_vectors.THRESHOLD}
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= {near_vectors.THRESHOLD}),
+reach AS (SELECT vec_id AS d, vec_id AS r FROM embeddings UNION SELECT d, b FROM reach JOIN links ON r = a),
+classes AS (SELECT d, min(r) AS class_id FROM reach GROUP BY d)
+SELECT vec_id, class_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links FROM embeddings JOIN classes ON vec_id = d
 """
 
 OP8_SQL = """
