@@ -3,9 +3,9 @@
 Per host, the path segments of all URLs form a tree. A segment that looks variable (a number, a
 date, an identifier) becomes a wildcard of its kind; below each node, children that are a small part
 of its URLs, and have too few URLs and labels to be told apart, become the wildcard "*". Beyond 8
-segments, what follows a path of so few URLs and labels becomes "**". Siblings whose children are spread alike and whose labels
-do not differ significantly are merged. Each root-to-leaf path that remains is a template; those
-whose share of good labels, smoothed towards the host's and the host's towards the whole, is too low
+segments, what follows a path of so few URLs and labels becomes "**". Siblings whose children are
+spread alike and whose labels do not differ significantly are merged. Each root-to-leaf path that
+remains is a template; those whose share of good labels, smoothed towards the host's and the host's towards the whole, is too low
 are rejected.
 
 Only counts of distinct shapes are ever grouped. The tree of one host is merged in one task; its
@@ -28,6 +28,7 @@ MIN_URLS, MIN_LABELS = 8, 2  # a branch of so many is judged by itself, however
 SMOOTHING, MIN_PURITY = 8.0, 0.6
 SPREAD, SIGNIFICANCE = 0.05, 2.58  # largest Jensen-Shannon divergence (bits) and |z| of what is alike
 _EXT = r"(\.[A-Za-z][A-Za-z0-9]{0,4})?"
+_DATE = r"/(?:19|20)\d\d/(?:0[1-9]|1[0-2])(?:/(?:0[1-9]|[12]\d|3[01]))?(?=/[^/?#])"
 _KINDS = (
     (rf"^\d+{_EXT}$", "{n}"),
     (rf"^\d{{4}}-\d{{2}}(-\d{{2}})?{_EXT}$", "{date}"),
@@ -58,8 +59,9 @@ def segments_of(url: Column) -> Column:
 
 
 def labelled_number(url: Column) -> Column:
-    """The first number that is a whole segment of the path, as the key of a label."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(?:/[^?#]*?)?/(\d{1,18})(?:\.\w+)?(?:[/?#]|$)", 1)
+    """The first number that is a whole segment of the path, as the key of a label; a year and month,
+    and a day behind them, that other segments follow are a date and no such number."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(?:{_DATE}|/(?!\d{{1,18}}(?:\.\w+)?(?:[/?#]|$))[^/?#]*)*+/(\d{{1,18}})(?:\.\w+)?(?:[/?#]|$)", 1)
 
 
 @dataclass
@@ -74,10 +76,17 @@ class Node:
     names: set[str] = field(default_factory=set)  # of the branches merged into this one
 
     def add(self, other: Node) -> None:
+        """Pour other into this node; children that share a name are one from then on."""
         self.n, self.labelled, self.good, self.here = self.n + other.n, self.labelled + other.labelled, self.good + other.good, self.here + other.here
         self.names |= other.names
-        for k, x in other.below.items():
-            self.below.setdefault(k, Node()).add(x)
+        at = {s: x for x in self.below.values() for s in x.names}
+        for x in sorted(other.below.values(), key=lambda x: min(x.names)):
+            homes = {id(at[s]): at[s] for s in sorted(x.names) if s in at}
+            home, *rest = homes.values() or [x]
+            for y in [*rest, *([x] if homes else [])]:
+                home.add(y)
+            at.update(dict.fromkeys(home.names, home))
+        self.below = keyed(sorted({id(x): x for x in at.values()}.values(), key=lambda x: min(x.names)))
 
     def spread(self) -> dict[str, float]:
         out = {k: x.n / self.n for k, x in self.below.items()}
@@ -114,17 +123,22 @@ def merge(node: Node) -> None:
         for i in sorted(set().union(*(having.get(c, ()) for c in telling(x)))):
             if alike(leaders[i], x):
                 leaders[i].add(x)
-                merge_names(leaders[i])
                 break
         else:
             i = len(leaders)
             leaders.append(x)
         for c in leaders[i].spread():
             having.setdefault(c, set()).add(i)
-    node.below = {}
-    for x in leaders:
+    node.below = keyed(leaders)
+
+
+def keyed(nodes: list[Node]) -> dict[str, Node]:
+    """Siblings under the names of what they hold, each name once."""
+    out: dict[str, Node] = {}
+    for x in nodes:
         name = label(x.names)
-        node.below[name if name not in node.below else f"*({min(x.names)}..)"] = x
+        out[name if name not in out else f"*({min(x.names)}..)"] = x
+    return out
 
 
 def telling(x: Node) -> list[str]:
@@ -139,15 +153,6 @@ def telling(x: Node) -> list[str]:
     return out
 
 
-def merge_names(node: Node) -> None:
-    """After branches have been added together, make the children's keys their names again."""
-    grouped: dict[str, Node] = {}
-    for k, x in node.below.items():
-        x.names = x.names or {k}
-        grouped.setdefault(k if k.startswith("*(") else label(x.names), Node()).add(x)
-    node.below = grouped
-
-
 def label(names: set[str]) -> str:
     """One name as it is, few as {a|b}, more as *."""
     if len(names) == 1:
@@ -167,14 +172,11 @@ def templates(shapes: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tuple
         at.here += n
     merge(root)
     out = {}
-    branch: dict[int, dict[str, tuple[str, Node]]] = {}  # by node: where each segment leads
+    branch: dict[int, dict[str, tuple[str, Node]]] = {}  # by node: where each segment leads; siblings share no name
 
     def branches(at: Node) -> dict[str, tuple[str, Node]]:
         if id(at) not in branch:
-            branch[id(at)] = {}
-            for k, x in sorted(at.below.items()):
-                for s in (*x.names, k):
-                    branch[id(at)].setdefault(s, (k, x))
+            branch[id(at)] = {s: (k, x) for k, x in at.below.items() for s in x.names}
         return branch[id(at)]
 
     for segments, *_ in shapes:
