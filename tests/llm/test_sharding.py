@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from textlake.llm import sharding
 from textlake.llm.queries import SHARD_TREE
@@ -19,13 +20,14 @@ def brute(key, tree):
         for name in tree:
             w = sharding.weight(tree[name])
             if w > 0:
-                p = f"{path}/{name}" if path else name
+                name = name.replace("%", "%25").replace("/", "%2F")
+                p = f"{path}/{name}" if out else name
                 u = (int(hashlib.md5(f"{p}|{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
                 best = min(best or (math.inf, ""), (-math.log(u) / w, p))
         if best is None:
             break
         path = best[1]
-        tree = tree[path.rpartition("/")[2]]
+        tree = tree[path.rpartition("/")[2].replace("%2F", "/").replace("%25", "%")]
         out.append(path)
     return tuple(out)
 
@@ -110,3 +112,29 @@ def test_written_by_shard(spark, tmp_path):
 def test_plan(spark, shape):
     plan = sharding.assign(many(spark), SHARD_TREE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+ODD_TREE = {"a/b": {"r%": {"s": 3.0}}, "a": {"b/r%": {"s": 1.0, "t": {"u": 2.0, "v": 1.0, "": 1.0}}}, "flat": 2.0, "o'k": {"x": 1.0}}
+
+
+@pytest.mark.parametrize("in_line", [0, 3, 256])
+def test_odd_names_and_depths(spark, monkeypatch, in_line):
+    monkeypatch.setattr(sharding, "IN_LINE", in_line)
+    found = sharding.assign(many(spark, 300).withColumn("level4", F.lit("x")).withColumn("__parent", F.lit(1)), ODD_TREE).collect()
+    assert found[0].__fields__ == ["doc_id", "__parent", "region", "rack", "shard", "level4"]
+    for r in found:
+        assert tuple(x for x in (r.region, r.rack, r.shard, r.level4) if x is not None) == brute(r.doc_id, ODD_TREE)
+    assert len({(r.region, r.rack, r.shard, r.level4) for r in found}) == 7
+
+
+def test_sql_of_odd_trees(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT range AS doc_id FROM range(200)")
+    found = sorted(con.sql(sharding.assign_sql(ODD_TREE, "documents", ["doc_id"])).fetchall(), key=repr)
+    assert found == rows(sharding.assign(many(spark, 200), ODD_TREE))
+
+
+def test_a_wide_tree(spark):
+    tree = {f"g{k}": {f"r{j}": {"s": 1.0 + j} for j in range(3)} for k in range(400)}
+    for r in sharding.assign(many(spark, 60), tree).collect():
+        assert (r.region, r.rack, r.shard) == brute(r.doc_id, tree)
