@@ -102,3 +102,28 @@ def test_files(spark, tmp_path):
 def test_tiny_rows(spark, length):
     parts = unpacked(packing.pack_documents(odd(spark).where("doc_id in (6, 8)"), length=length).collect(), length)
     assert sum(len(p[2]) for p in parts) == sum(len(V.encoder.encode_ordinary(t)) + 1 for d, t, *_ in odd_rows() if d in (6, 8))
+
+
+def test_hot_groups_are_packed_in_portions(spark, monkeypatch):
+    data = [(1, f"text {k} " * (k % 9)) for k in range(300)] + [(None, "the same")] * 700
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    monkeypatch.setattr(packing, "PORTION", 2000)
+    found = packing.pack_documents(df.repartition(3), length=64, docs_per_group=40).collect()
+    keys = [(r.pack_group, r.pack_row) for r in found]
+    assert len(set(keys)) == len(keys)
+    for g in {g for g, _ in keys}:
+        assert sorted(r for h, r in keys if h == g) == list(range(sum(h == g for h, _ in keys)))
+    parts = unpacked(found, 64)
+    assert sum(p[0] is None for p in parts) == 700
+    assert sum(len(p[2]) for p in parts) == sum(len(V.encoder.encode_ordinary(t)) + 1 for _, t in data)
+    assert len({r.pack_group for r in found if 1 in r.doc_ids}) > 5  # one id fills many groups
+    assert rows(packing.pack_documents(df.coalesce(1), length=64, docs_per_group=40)) == sorted(map(tuple, found), key=repr)
+
+
+def test_portions_do_not_follow_the_batches(monkeypatch):
+    monkeypatch.setattr(packing, "PORTION", 100)
+    r = random.Random(1)
+    whole = pa.record_batch([pa.array(sorted(r.randrange(4) for _ in range(200)), pa.int32()), pa.array(["x" * r.randrange(30) for _ in range(200)])], ["g", "text"])
+    cut = lambda n: [whole.slice(a, n) for a in range(0, 200, n)]
+    by = {n: [p for b in packing._portioned(iter(cut(n)), 50) for p in b.column("portion").to_pylist()] for n in (1, 7, 64, 200)}
+    assert by[1] == by[7] == by[64] == by[200] and max(by[1]) > 5

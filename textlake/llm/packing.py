@@ -5,6 +5,7 @@ split without loss, and the segments are packed best fit decreasing: each, the l
 into the row with the least room that still holds it, which a segment tree over the possible amounts
 of room finds in logarithmic time. A group is one block of rows; groups hold as many documents as
 docs_per_group on average at any size of the table, so one shuffle of the texts is all that moves.
+A group that is much larger, as repeated rows share one, is packed portion by portion.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from textlake.llm import bpe
 from textlake.llm.common import hash_u63, int_lists, slices, take_ranges, text_or_empty
 
 LENGTH, EOT = 2048, 50256
+PORTION = 64_000_000  # bytes of a group's texts packed at once
 SCHEMA = "pack_group int, pack_row int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<bigint>, starts array<int>"
 
 
@@ -83,7 +85,26 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return row, offset
 
 
-def _pack(group: int, doc: pa.Array, ids: np.ndarray, off: np.ndarray, length: int, eot: int, kind: np.dtype) -> pa.RecordBatch:
+def _portioned(batches: Iterator[pa.RecordBatch], docs: int) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by g, with the portion of its group that each row falls in: PORTION bytes, to
+    which every row adds as much more as limits a portion to docs rows. Batch borders play no part."""
+    now, done = None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        g = np.asarray(b.column("g"))
+        w = np.asarray(pc.binary_length(b.column("text")), np.int64) + -(-PORTION // docs)
+        total = np.cumsum(w) - w
+        start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(start, len(g)))
+        before = total - np.repeat(total[start], size)
+        if g[0] == now:
+            before[: size[0]] += done
+        now, done = g[-1], int(before[-1] + w[-1])
+        yield b.append_column("portion", pa.array(before // PORTION))
+
+
+def _pack(group: int, first_row: int, doc: pa.Array, ids: np.ndarray, off: np.ndarray, length: int, eot: int, kind: np.dtype) -> pa.RecordBatch:
     n = np.diff(off)
     parts = -(-n // length)
     of = np.repeat(np.arange(len(n)), parts)
@@ -103,9 +124,9 @@ def _pack(group: int, doc: pa.Array, ids: np.ndarray, off: np.ndarray, length: i
         places[to] = take_ranges(np.zeros(s.stop - s.start, np.int64), size[s])
     used = np.add.reduceat(size, first[:-1]) if rows else np.zeros(0, np.int64)
     ends = np.insert(offset + size, first[:-1], 0)  # every row's cumulative lengths open with 0
-    binary = lambda m: pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * length * m.itemsize).astype(np.int32)), pa.py_buffer(m)])
+    binary = lambda m: pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int64) * length * m.itemsize), pa.py_buffer(m)])
     return pa.record_batch(
-        [pa.array(np.full(rows, group), pa.int32()), pa.array(np.arange(rows), pa.int32()), pa.array(used, pa.int32()), binary(matrix), binary(places), int_lists(ends, first + np.arange(rows + 1), pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), doc.take(pa.array(of))), int_lists(start, first, pa.int32())],
+        [pa.array(np.full(rows, group), pa.int32()), pa.array(first_row + np.arange(rows), pa.int32()), pa.array(used, pa.int32()), binary(matrix), binary(places), int_lists(ends, first + np.arange(rows + 1), pa.int32()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), doc.take(pa.array(of))), int_lists(start, first, pa.int32())],
         ["pack_group", "pack_row", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "starts"],
     )
 
@@ -119,18 +140,20 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, eot: int = EOT, docs_p
     every segment, and in the filling), cu_seqlens the cumulative lengths from 0 to n_tokens, doc_ids
     and starts each segment's document and place in it. Null and empty texts are a lone eot, so that
     none is lost; null doc_ids and repeated rows are packed like others, each on its own. Ties in
-    length go by doc_id and text. Extra columns play no part. An empty table gives no rows. The
-    result does not depend on how docs is partitioned. ranks must be readable on every worker.
+    length go by doc_id and text. Extra columns play no part. An empty table gives no rows. Rows go to
+    groups by doc_id and text, so an id on very many texts fills many groups. The result does not
+    depend on how docs is partitioned. ranks must be readable on every worker. doc_id is cast to bigint.
     """
     groups = max(1, -(-docs.count() // docs_per_group))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.withColumn("g", F.pmod(hash_u63("doc_id", seed=seed), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("g", F.pmod(hash_u63("doc_id", "text", seed=seed), F.lit(groups)).cast("int"))
     rows = rows.repartition("g").sortWithinPartitions("g", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = bpe.vocabulary(ranks)
         kind = np.dtype("<u2" if max(v.size, eot + 1) <= 65536 else "<u4")
-        for b in runs_of(batches, ["g"]):
+        group, row = None, 0
+        for b in runs_of(_portioned(batches, 4 * docs_per_group), ["g", "portion"]):
             ids, sizes = [], []
             for part in slices(b, size=12_000_000):
                 x, off = bpe.encode(part.column("text"), v)
@@ -138,9 +161,13 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, eot: int = EOT, docs_p
                 whole[np.arange(len(x)) + np.repeat(np.arange(len(part)), np.diff(off))] = x
                 ids.append(whole), sizes.append(np.diff(off) + 1)
             off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-            out = _pack(b.column("g")[0].as_py(), b.column("doc_id"), np.concatenate(ids), off, length, eot, kind)
+            this = b.column("g")[0].as_py()
+            row = row if this == group else 0
+            out = _pack(this, row, b.column("doc_id"), np.concatenate(ids), off, length, eot, kind)
+            group, row = this, row + len(out)
             for a in range(0, len(out), 1024):
-                yield out.slice(a, 1024)
+                part = out.slice(a, 1024)
+                yield pa.record_batch([c.cast(pa.binary()) if c.type == pa.large_binary() else c for c in part.columns], part.schema.names)
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -149,7 +176,9 @@ def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> Data
     """Write each group's ids, positions, cumulative lengths and their offsets as raw files in folder.
 
     folder is a URI that all workers reach. A file is written under another name and moved, so that
-    a repeated task leaves the same whole file. Returns pack_group, rows, name (of the files).
+    a repeated task leaves the same whole file. Returns pack_group, rows, name (of the files). packed
+    is what pack_documents gives, whole: rows in any order, each once; an empty table writes nothing
+    and gives no rows, other columns play no part.
     """
     rows = packed.repartition("pack_group").sortWithinPartitions("pack_group", "pack_row")
 
