@@ -57,7 +57,7 @@ def test_whole_blocks_land_once(spark):
     ids = [r.doc_id for r in out]
     assert len(ids) == len(set(ids)) and out[0].__fields__ == ["doc_id", "text", "source", "mix_shard", "mix_pos"]
     # 100, 75 and 15 blocks at 2:1:1 make 30, 15 and 15
-    hashed = {r.doc_id: r.h for r in docs.select("doc_id", mixing.hash_u63("doc_id", "text", "source", seed=11).alias("h")).collect()}
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", mixing.row_hash(docs, 11).alias("h")).collect()}
     blocks = {"a": 100, "b": 75, "c": 15}
     drawn = defaultdict(set)
     for r in out:
@@ -113,3 +113,38 @@ def test_the_query_draws_half_at_least(spark, tmp_path):
     docs = made(spark, {"src0": 400, "src1": 400, "tiny": 1, None: 1})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.QUERIES["op2_mix_sources"](spark, str(tmp_path)).count() >= 350
+
+
+def test_many_shards_and_sources():
+    quotas = np.full(5000, 2_000_000)
+    tree = mixing.SplitTree(quotas, 12_000, 5)
+    places = np.random.default_rng(1).integers(0, 2_000_000, 200)
+    found = tree.shard_of(4321, places)
+    assert (tree.shard_of(4321, np.sort(places)) == np.sort(found)).all()  # shards take consecutive runs
+    assert abs(found / 12_000 - places / 2_000_000).max() < 0.01  # with equal shares
+    assert len(tree.drawn) < 200 * 14 * 14  # only what lies on the way
+
+
+def test_the_large_draws_follow_the_distribution(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(mixing, "_EXACT", 0)
+    for good, bad, n in ((30, 50, 20), (4000, 100, 3900), (1, 5, 3), (0, 9, 4), (9, 0, 4), (600, 600, 600)):
+        x = np.array([mixing.hypergeometric(good, bad, n, rng) for _ in range(4000)])
+        p = good / (good + bad)
+        var = n * p * (1 - p) * (good + bad - n) / max(good + bad - 1, 1)
+        assert x.min() >= max(0, n - bad) and x.max() <= min(n, good)
+        assert abs(x.mean() - n * p) <= 5 * np.sqrt(var / 4000) and abs(x.var() - var) <= 0.15 * var
+    big = [mixing.hypergeometric(4 * 10**9, 6 * 10**9, 10**9, rng) for _ in range(200)]
+    assert abs(np.mean(big) - 4e8) < 5 * np.sqrt(1e9 * 0.4 * 0.6 * 0.9 / 200)
+
+
+def test_columns_of_all_types_tell_rows_apart(spark):
+    df = spark.range(64).selectExpr("1 AS doc_id", "'t' AS text", "'a' AS source", "cast(id AS decimal(20, 2)) AS d", "map('k', id) AS m", "cast('2024-01-01' AS timestamp_ntz) AS w")
+    out = mixing.mix_sources(df, block_docs=1, docs_per_shard=8)
+    assert len({r.mix_shard for r in out.collect()}) > 3 and out.columns == [*df.columns, "mix_shard", "mix_pos"]
+    assert len({r[0] for r in df.drop("d").select(mixing.row_hash(df.drop("d"))).collect()}) == 64
+
+
+def test_empty_columns_of_quotas(spark):
+    assert mixing.split_tree(np.array([0, 0]), 3, 1).sum() == 0
+    assert mixing.split_tree(np.array([5]), 1, 1).tolist() == [[5]]

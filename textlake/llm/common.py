@@ -34,8 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _local.setdefault("folder", tempfile.mkdtemp(prefix="textlake-"))
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        if "folder" not in _local:
+            _local["folder"] = tempfile.mkdtemp(prefix="textlake-")
+            atexit.register(shutil.rmtree, _local["folder"], ignore_errors=True)
+        folder = _local["folder"]
     return folder
 
 
@@ -90,6 +92,12 @@ def hash_u63(*cols: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
 
 
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash over all columns, whatever their types; equal rows have equal hashes."""
+    plain = lambda t: "map<" not in t and "variant" not in t
+    return hash_u63(*[F.col(f"`{n}`") if plain(t) else F.to_json(F.struct(F.col(f"`{n}`"))) for n, t in df.dtypes], seed=seed)
+
+
 def partitions_for(df: DataFrame) -> int:
     """As many partitions as the session's shuffles have."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

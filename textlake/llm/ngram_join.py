@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlake.llm.common import cut, flat_utf8, fresh, partitions_for, slices, small_side, string_array, take_ranges, text_or_empty
+from textlake.llm.common import cut, flat_utf8, fresh, partitions_for, row_hash, slices, small_side, string_array, take_ranges, text_or_empty
 from textlake.llm.components import connected_components, joined
 
 N, THRESHOLD, RECALL = 3, 0.6, 0.97
@@ -401,7 +401,6 @@ def keep_one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     if not twice.count():
         return stays
     row, key, nth = fresh(docs, "__row"), fresh(docs, "__key"), fresh(docs, "__nth")
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-    again = stays.join(small_side(twice, 2), same, "left_semi").withColumn(row, F.xxhash64(*hashed)).withColumn(key, F.xxhash64(text_or_empty()))
+    again = stays.join(small_side(twice, 2), same, "left_semi").withColumn(row, row_hash(docs)).withColumn(key, F.xxhash64(text_or_empty()))
     one = again.withColumn(nth, F.row_number().over(Window.partitionBy(F.col("doc_id").cast("bigint"), key).orderBy(row))).where(F.col(nth) == 1)
     return stays.join(small_side(twice, 2), same, "left_anti").unionByName(one.drop(row, key, nth))
