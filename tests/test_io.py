@@ -90,13 +90,118 @@ def test_routes_and_metrics(spark, tmp_path):
     assert writers.next_version(spark.read.parquet(path).distinct(), str(tmp_path / "v"), 2).endswith("v=2")
 
 
+def test_routes_can_be_added_to(spark, tmp_path):
+    df = spark.createDataFrame([("books", "u1"), ("reports", "u2")], "category string, url string")
+    for _ in range(2):
+        writers.routed(df, str(tmp_path / "r"), "category", append=True)
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "r")).collect()) == ["u1", "u1", "u2", "u2"]
+
+
+def test_comparison_csv(spark, tmp_path):
+    df = spark.createDataFrame([("x@1", 0.5, 0.75, 0.25, 50.0), ("a@1", 0.0, 1 / 3, 1 / 3, None)], "metric string, base double, tuned double, absolute_gain double, relative_gain double")
+    writers.comparison_csv(df, str(tmp_path / "c"))
+    (made,) = (tmp_path / "c").glob("*.csv")
+    assert made.read_text() == "metric,base,tuned,absolute_gain,relative_gain\na@1,0.000000,0.333333,0.333333,\nx@1,0.500000,0.750000,0.250000,50.000000\n"
+
+
+def test_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers["User-Agent"]))
+            self.send_response(404 if "gone" in self.path else 200)
+            self.end_headers()
+            self.wfile.write(b'<urlset xmlns="x:y"><url><loc> http://a/viewcontent/1?lgn=hi </loc></url><url><loc>http://b?x=1&amp;y=2</loc></url><url><loc>http://b?x=1&amp;y=2</loc></url></urlset>')
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert sorted(r.url for r in readers.sitemap_over_http(spark, root + "/s.xml").collect()) == ["http://a/viewcontent/1?lgn=hi", "http://b?x=1&y=2"]
+        assert [r.url for r in readers.sitemap_over_http(spark, root + "/s.xml", content_only=True).collect()] == ["http://a/viewcontent/1?lgn=hi"]
+        with pytest.raises(Exception, match="404"):
+            readers.sitemap_over_http(spark, root + "/gone")
+        urls_ = spark.createDataFrame([(root + "/one",), (root + "/gone",)], "url string")
+        out = {r.url[len(root) :]: r for r in readers.fetch(urls_, readers.http_get(5, "me"), 2, pause=NOW, between=lambda: None).collect()}
+        assert out["/one"].html.startswith("<urlset") and out["/gone"].html is None and "404" in out["/gone"].error
+        assert sum(p == "/gone" and a == "me" for p, a in seen) == 2
+    finally:
+        server.shutdown()
+
+
+def test_descriptions():
+    social = '<meta property="og:description" content="shared">'
+    assert html.page_of("u", social)[1] == "shared" and html.page_of("u", social, False)[1] == ""
+
+
+def test_answers_are_checked_within_the_tries(spark, tmp_path):
+    good = {f: False for f in model_calls.FLAGS} | {"reason": "ok"}
+
+    def client(prompts):  # what was asked before is kept on disk, as workers do not share memory
+        (text,) = prompts
+        seen = tmp_path / text.split("\n")[0]
+        tries = len(seen.read_text()) if seen.exists() else 0
+        seen.write_text("x" * (tries + 1))
+        rows = [good] * len(text.split("\n"))
+        if tries == 0 and "bad" in text:
+            return ["[{no json"]
+        if tries == 0 and "few" in text:
+            return [json.dumps(rows[:-1])]
+        if tries == 0 and "blank" in text:
+            return [" "]
+        return [json.dumps(rows)] if "never" not in text else ['{"a": 1}']
+
+    waited = []
+    df = spark.createDataFrame(list(enumerate(["bad", "b", "few", "d", "blank", "f", "never", "h"])), "o int, t string")
+    found = {r.t: r for r in model_calls.label_batches(df, ["o"], client, F.col("t"), 2, model_calls.Retry(2, sleep=NOW)).collect()}
+    assert all(found[t].llm_reason == "ok" and found[t].reusable is False for t in ("bad", "b", "few", "d", "blank", "f"))
+    assert all(found[t].llm_reason.startswith("api_error") and found[t].reusable is None for t in ("never", "h"))
+    said = iter(["nonsense", "[1]"])
+    assert model_calls.call(lambda p: [next(said)], ["a"], model_calls.Retry(2, sleep=waited.append), lambda k, x: model_calls.json_list(x)) == (["[1]"], None)
+    assert waited == [5.0]  # the wait of a JSON error
+
+
+def test_generate_questions(spark):
+    words = " ".join(f"w{k}" for k in range(45))
+    data = [(f"c{k}", k, f"title {k}", words + f" {k}", "d") for k in range(6)]
+    data[1] = ("c1", 1, "FAQ of wheat", words, "d")
+    data[2] = ("c2", 2, "t", "too short", "d")
+    chunks = spark.createDataFrame([*data, ("s1", 6, "skip me", words, "d"), ("x1", 9, "broken", words, "d")], "chunk_id string, n int, title string, chunk_text string, domain string")
+    prompts = spark.sparkContext.accumulator(0)
+
+    def client(given):
+        (p,) = given
+        prompts.add(1)
+        if "broken" in p:
+            return ["no list"]
+        if "skip me" in p:
+            return [" skip "]
+        ids = [line[10:] for line in p.split("\n") if line.startswith("Chunk ID: ")]
+        asked = [{"chunk_id": i, "questions": [f" {i} a", "b", "c", "c", ""] if i != "c4" else ["only"]} for i in ids]
+        return ["```json\n" + json.dumps([*asked, {"chunk_id": "s1", "questions": ["a", "b", "c"]}]) + "\n```"]
+
+    done = spark.createDataFrame([("c3",)], "chunk_id string")
+    pairs, failed = model_calls.generate_questions(chunks, client, ["n"], done, size=3, retry=model_calls.Retry(2, sleep=NOW))
+    assert sorted((r.question, r.chunk_id) for r in pairs.collect()) == sorted((q, c) for c in ("c0", "c5") for q in (f"{c} a", "b", "c"))
+    assert pairs.columns == ["question", "positive", "chunk_id", "n", "title", "domain"]
+    # s1 and x1 share a batch with nothing else: its tries fail
+    assert {r.chunk_id for r in failed.collect()} == {"s1", "x1"}
+
+
 def test_fetch_and_pages(spark, tmp_path):
     def fetcher(url):
         if "bad" in url:
             raise OSError("down")
         return f"<p>{url}</p>"
 
-    out = readers.fetch(spark.createDataFrame([("http://a",), ("http://bad",)], "url string"), fetcher).orderBy("url").collect()
+    out = readers.fetch(spark.createDataFrame([("http://a",), ("http://bad",)], "url string"), fetcher, pause=NOW, between=lambda: None).orderBy("url").collect()
     assert [(r.html, r.error) for r in out] == [("<p>http://a</p>", None), (None, "down")]
     writers.dead_letters(spark.createDataFrame(out), str(tmp_path / "dead"))
     assert [r.value for r in spark.read.text(str(tmp_path / "dead")).collect()] == ["http://bad"]

@@ -144,6 +144,64 @@ def test_search(spark, vectors, monkeypatch, block):
     assert retrieval.search(df.limit(0), df, 3).collect() == [] == retrieval.search(df.where("vec_id < 20"), df.limit(0), 3).collect()
 
 
+def test_search_among_mixed_dimensions(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    data = [(k, r.normal(size=d).tolist()) for k, d in enumerate([2, 3, 2, 3, 3, 2, 5, 2, 2, 3] * 3)] + [(90, None), (91, []), (92, [0.0, 0.0]), (93, [float("nan"), 1.0])]
+    v = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    real = set()
+    for a, x in data:
+        near = sorted(((-np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y), b) for b, y in data if a < 90 and b < 90 and len(x) == len(y)))[:3]
+        real |= {(a, b, n + 1) for n, (_, b) in enumerate(near)}
+    for frame in (v, v.repartition(7), v.coalesce(1)):
+        assert {(x.query_id, x.corpus_id, x["rank"]) for x in retrieval.search(frame, v, 3).collect()} == real
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 8)
+    assert {(x.query_id, x.corpus_id, x["rank"]) for x in retrieval.search(v, v, 3).collect()} == real
+
+
+def test_most_similar(spark):
+    found = spark.createDataFrame([("test", 1, 2, 0.5), ("valid", 3, 4, 0.9), ("test", 5, 6, 0.9)], "split string, query_id bigint, corpus_id bigint, similarity double")
+    assert [r.query_id for r in retrieval.most_similar(found).collect()] == [5, 3, 1]
+    assert [r.query_id for r in retrieval.most_similar(found, 2).collect()] == [5, 3]
+
+
+def test_relevance_by_label_is_the_pairs(spark):
+    r = random.Random(6)
+    rows = spark.createDataFrame([(k, r.choice([1, 2, 3, None, 9]) if k else 77) for k in range(30)], "vec_id bigint, label int")
+    hits = spark.createDataFrame([(q, c, n + 1, 0.5) for q in range(30) for n, c in enumerate(r.sample(range(30), 10))], "query_id bigint, corpus_id bigint, rank int, score double")
+    qrels = rows.alias("a").join(rows.alias("b"), "label").where("a.vec_id <> b.vec_id").selectExpr("a.vec_id query_id", "b.vec_id corpus_id")
+    good, wanted = ir.judged_by_label(hits, rows, "vec_id", "label")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(ir.per_query_of(good, wanted)) == key(ir.per_query(hits, qrels))
+    assert key(ir.rank_report_of(hits, hits, (good, wanted), (good, wanted))) == key(ir.rank_report(hits, hits, qrels))
+
+
+def test_batches_without_repeats(spark):
+    r = random.Random(2)
+    data = [(k, f"a{r.randrange(40)}", f"p{r.randrange(60)}") for k in range(300)]
+    found = ir.distinct_batches(spark.createDataFrame(data, "k int, anchor string, positive string"), 8, ["k"]).collect()
+    assert sorted(x.k for x in found) == list(range(300))
+    by = {}
+    for x in found:
+        by.setdefault(x.batch_id, []).append(x)
+    assert all(len({x.anchor for x in b}) == len({x.positive for x in b}) == len(b) <= 8 for b in by.values())
+    assert len(by) < 60
+
+
+def test_stage_counts_come_with_the_pass(spark):
+    df = spark.range(10).selectExpr("id", "CASE WHEN id < 3 THEN true WHEN id < 9 THEN false END AS ok")
+    out, seen = profile.observed(df, "stage", F.col("ok"))
+    assert out.where("ok").count() == 3
+    out.collect()
+    assert profile.stage_counts(df, F.col("ok")).first().asDict() == {"n_total": 10, "n_kept": 3, "n_removed": 7} == seen.get
+
+
+def test_ordered_outputs(spark):
+    rows = spark.createDataFrame([("b", 1, "T"), ("a", 2, "S"), ("a", 1, "S"), ("b", 0, "T"), ("c", 0, "A")], "document_id string, chunk_index int, title string")
+    assert [(r.document_id, r.chunk_index) for r in passages.in_order(rows).collect()] == [("a", 1), ("a", 2), ("b", 0), ("b", 1), ("c", 0)]
+    assert [r.title for r in passages.titles(rows).collect()] == ["A", "S", "T"]
+    assert [r.document_id for r in passages.head(rows, 2, ["title", "chunk_index"]).collect()] == ["c", "a"]
+
+
 def test_near_duplicates(spark, vectors):
     _, df = vectors
     found = retrieval.near_duplicates(df.where("vec_id = 7"), df.where("vec_id < 7"), "test").collect()

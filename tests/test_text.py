@@ -86,6 +86,40 @@ def test_word_spans_are_the_loops(spark):
     assert [[(s.s, s.e) for s in f] for f in found] == [loop(c, 200) for c in cases]
 
 
+@pytest.mark.parametrize("overlap", [0, 1, 2, 3, 7])
+def test_windows_of_any_overlap(spark, overlap):
+    def plain(counts, most):
+        out, i = [], 0
+        while i < len(counts):
+            j, total = i, 0
+            while j < len(counts) and (j == i or total + counts[j] <= most):
+                total, j = total + counts[j], j + 1
+            out.append((i, j))
+            i = max(j - overlap, i + 1)
+        return out
+
+    r = random.Random(overlap)
+    cases = [[], [500], [200], [199, 2, 199], [10] * 5, [1, 300, 1], [60] * 12] + [[r.randint(1, r.choice([20, 90, 260])) for _ in range(r.randrange(25))] for _ in range(300)]
+    found = many(spark, cases, chunks.window_spans(F.col("t"), 200, overlap), "array<int>")
+    assert [[(s.s, s.e) for s in f] for f in found] == [plain(c, 200) for c in cases]
+
+
+@pytest.mark.parametrize("overlap", [1, 3])
+def test_chunks_carry_their_counts(spark, overlap):
+    r = random.Random(3)
+    cases = [[" ".join("w" * r.randint(1, 9) for _ in range(r.randint(1, 60))) for _ in range(r.randrange(14))] for _ in range(60)]
+    for f in many(spark, cases, chunks.chunk_words(F.col("t"), 100, longer_than=80, overlap=overlap), "array<string>"):
+        assert all(c.words == len(c.text.split()) and c.chars == len(c.text) > 80 for c in f)
+    least = many(spark, cases, chunks.chunk_words(F.col("t"), 100, longer_than=None, least_words=40, overlap=overlap), "array<string>")
+    assert all(c.words >= 40 for f in least for c in f) and any(least)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="ab\u00a0 \n\u2003\u200b", max_size=12), min_size=1, max_size=12))
+def test_word_counts(spark, texts):
+    assert many(spark, [*texts, None, " ", ""], pytext.word_count("t")) == [*(len(t.split()) for t in texts), 0, 0, 0]
+
+
 def test_char_spans(spark):
     r = random.Random(5)
     cases = [["x" * r.randint(41, r.choice([90, 500])) for _ in range(r.randrange(12))] for _ in range(500)] + [[]]

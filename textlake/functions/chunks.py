@@ -16,7 +16,8 @@ _MARK = "\x01"
 
 
 def _kept(parts: Column, longer_than: int) -> Column:
-    return F.filter(F.transform(parts, strip), lambda s: F.length(s) > longer_than)
+    blank = lambda s: F.substring(s, 1, 1).rlike(WS) | F.substring(s, -1, 1).rlike(WS)
+    return F.filter(F.transform(parts, lambda s: F.when(blank(s), strip(s)).otherwise(s)), lambda s: F.length(s) > longer_than)
 
 
 def _kept_sql(parts: str, longer_than: int) -> str:
@@ -78,6 +79,28 @@ def word_spans(counts: Column, max_words: int) -> Column:
     return F.aggregate(F.transform(counts, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), start, step, finish)
 
 
+def window_spans(counts: Column, max_words: int, overlap: int) -> Column:
+    """Spans of sentences, each as long as max_words allow (one at least), each but the first starting
+    overlap sentences before the end of the one before it, though at least one after its start."""
+    make = lambda spans, i, j, held: F.struct(spans.alias("spans"), i.cast("int").alias("i"), j.cast("int").alias("j"), held.cast("int").alias("held"))
+
+    def spans(w: Column) -> Column:
+        n = F.size(w)
+
+        def step(a: Column, _: Column) -> Column:
+            more = F.get(w, a["j"])
+            longer = (a["j"] < n) & ((a["i"] == a["j"]) | (a["held"] + more <= max_words))
+            again = F.greatest(a["j"] - overlap, a["i"] + 1)
+            left = F.aggregate(F.slice(w, a["i"] + 1, again - a["i"]), F.lit(0), lambda s, x: s + x)
+            closed = make(F.concat(a["spans"], F.array(F.struct(a["i"].alias("s"), a["j"].alias("e")))), again, a["j"], a["held"] - left)
+            return F.when(a["i"] >= n, a).when(longer, make(a["spans"], a["i"], a["j"] + 1, a["held"] + more)).otherwise(closed)
+
+        zero = F.lit(0)  # either end moves on at each step, so that twice as many as there are sentences do
+        return F.aggregate(F.sequence(F.lit(0), 2 * n), make(F.array().cast(SPANS), zero, zero, zero), step, lambda a: a["spans"])
+
+    return let(counts, spans)
+
+
 def char_spans(lengths: Column, max_chars: int) -> Column:
     """Consecutive spans without overlap; a sentence goes on a span while the characters so far, one
     more for each sentence that was added, and its own are at most max_chars."""
@@ -98,12 +121,25 @@ def joined(sentences: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.array_join(F.slice(sentences, s["s"] + 1, s["e"] - s["s"]), " "))
 
 
-def chunk_words(sentences: Column, max_words: int = 200, longer_than: int | None = 80, least_words: int | None = None) -> Column:
-    """Overlapping chunks, of which those stay that are longer than so many characters, or have so many words."""
-    made = let(sentences, lambda s: joined(s, word_spans(F.transform(s, word_count), max_words)))
-    if longer_than is not None:
-        made = F.filter(made, lambda c: F.length(c) > longer_than)
-    return made if least_words is None else F.filter(made, lambda c: word_count(c) >= least_words)
+def chunk_words(sentences: Column, max_words: int = 200, longer_than: int | None = 80, least_words: int | None = None, overlap: int = 1) -> Column:
+    """array<struct<text, words, chars>>: overlapping chunks, of which those stay that are longer than
+    so many characters, or have so many words. Words and characters are added up from the sentences',
+    which are counted once, and only chunks that stay are put together."""
+
+    def made(s: Column) -> Column:
+        counted = F.transform(s, lambda x: F.struct(word_count(x).alias("w"), F.length(x).alias("n")))
+
+        def spanned(c: Column) -> Column:
+            w = F.transform(c, lambda x: x["w"])
+            spans = word_spans(w, max_words) if overlap == 1 else window_spans(w, max_words, overlap)
+            total = lambda p, of: F.aggregate(F.slice(c, p["s"] + 1, p["e"] - p["s"]), F.lit(0), lambda t, x: t + x[of])
+            out = F.transform(spans, lambda p: F.struct(p.alias("p"), total(p, "w").alias("words"), (total(p, "n") + p["e"] - p["s"] - 1).alias("chars")))
+            out = out if longer_than is None else F.filter(out, lambda x: x["chars"] > longer_than)
+            return out if least_words is None else F.filter(out, lambda x: x["words"] >= least_words)
+
+        return F.transform(let(counted, spanned), lambda x: F.struct(F.array_join(F.slice(s, x["p"]["s"] + 1, x["p"]["e"] - x["p"]["s"]), " ").alias("text"), x["words"].alias("words"), x["chars"].alias("chars")))
+
+    return let(sentences, made)
 
 
 def chunk_chars(sentences: Column, max_chars: int = 400, longer_than: int = 80) -> Column:

@@ -11,12 +11,15 @@ NAVIGATION = "Back|Next|अगला|अधिक जानकारी|ईम
 GARBAGE = "[\\x{FFFD}\\x{25A0}\\x{25A1}\\x{25C6}\\x{25FB}\\x{25FC}]"
 
 
-def _passage() -> Steps:
+SITE = r"\w+\s*-\s*Agriculture"  # a site's name and section behind page titles, as a pattern
+
+
+def _passage(site: str = SITE) -> Steps:
     out = Steps().regex("[\\x{200C}\\x{200D}\\x{FEFF}]")
     for text in NAVIGATION.split("|"):
         out = out.plain(text, " ")
     out = out.regex(f"{WS}+", " ").regex("[.]{2,}", ".").regex("।{2,}", "।")
-    out = out.regex(r"(?i)\|\s*\w+\s*-\s*Agriculture")  # the site's name behind page titles
+    out = out.regex(rf"(?i)\|\s*{site}")
     out = out.regex("स्(?:त्)?रोत *[:：][^।]*").regex("लेख[कन] *[:：].*")
     return out.regex("इस +(?:पृष्ठ|भाग|लेख) +में.*?जानकारी +दी +(?:गई|गयी|है)।?").then(STRIP)
 
@@ -29,9 +32,10 @@ FENCES = Steps().plain("```json").plain("```").then(STRIP)
 INTRO = ("भाग", "लेख", "पृष्ठ")
 
 
-def clean_passage(c: str | Column) -> Column:
-    """A scraped passage without invisible marks, navigation, credits and the opening notice."""
-    return PASSAGE.apply(c)
+def clean_passage(c: str | Column, site: str = SITE) -> Column:
+    """A scraped passage without invisible marks, navigation, credits and the opening notice. site is
+    the pattern of the site's name, which goes where it stands behind a bar."""
+    return (PASSAGE if site == SITE else _passage(site)).apply(c)
 
 
 def clean_pair_text(c: str | Column) -> Column:

@@ -65,8 +65,9 @@ def parse(html: str | None) -> _Page:
     return page
 
 
-def page_of(url: str | None, html: str | None) -> tuple[str, str, list[str], str]:
-    """(title, description, sorted PDF links, content). The content is that of the page's embedded
+def page_of(url: str | None, html: str | None, social: bool = True) -> tuple[str, str, list[str], str]:
+    """(title, description, sorted PDF links, content). The description is the page's own, or without
+    one, if social is true, that for social networks. The content is that of the page's embedded
     data if it holds at least LEAST characters, else the text of the whole page, line by line."""
     page = parse(html)
     content = ""
@@ -85,7 +86,7 @@ def page_of(url: str | None, html: str | None) -> tuple[str, str, list[str], str
             continue
         if full.lower().endswith(".pdf"):
             links.add(full)
-    description = page.meta.get("description", page.meta.get("og:description", ""))
+    description = page.meta.get("description", page.meta.get("og:description", "") if social else "")
     return "".join(page.title or []).strip(), description.strip(), sorted(links), content
 
 
@@ -93,13 +94,17 @@ def _pages(url: pd.Series, html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_of(u, h) for u, h in zip(url, html)], columns=["title", "description", "pdf_links", "content"])
 
 
+def _plain_pages(url: pd.Series, html: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([page_of(u, h, False) for u, h in zip(url, html)], columns=["title", "description", "pdf_links", "content"])
+
+
 def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([urljoin(b or "", h or "") for b, h in zip(base, href)], dtype=object)
 
 
-def page_info(url: str | Column = "url", html: str | Column = "html") -> Column:
+def page_info(url: str | Column = "url", html: str | Column = "html", social: bool = True) -> Column:
     """struct(title, description, pdf_links, content) of a page; a null page has empty ones."""
-    return F.pandas_udf(_pages, PAGE)(url, html)
+    return F.pandas_udf(_pages if social else _plain_pages, PAGE)(url, html)
 
 
 def resolve(base: str | Column, href: str | Column) -> Column:

@@ -87,7 +87,10 @@ def words_sql(e: str) -> str:
 
 
 def word_count(c: str | Column) -> Column:
-    return F.size(words(c))
+    """How many words str.split() gives; the empty parts that white space at an end makes are taken off."""
+    text = F.coalesce(col(c), F.lit(""))
+    blank = lambda at: F.substring(text, at, 1).rlike(WS).cast("int")
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"{WS}+", -1)) - blank(1) - blank(-1))
 
 
 def contains_any(c: str | Column, keywords: str) -> Column:

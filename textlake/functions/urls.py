@@ -59,6 +59,11 @@ def triage_sql(e: str, skip: str = TRIAGE_SKIP, keep: str = TRIAGE_KEEP) -> str:
     return f"CASE WHEN {contains_any_sql(e, skip)} THEN 'SKIP' WHEN {contains_any_sql(e, keep)} THEN 'KEEP' ELSE 'REVIEW' END"
 
 
+def about(*columns: str | Column) -> Column:
+    """A page's title, description and URL as one text, to look for keywords in."""
+    return F.concat_ws(" ", *[F.coalesce(col(c), F.lit("")) for c in columns])
+
+
 def categories(text: str | Column, rules: dict[str, str] | None = None, other: str = OTHER) -> Column:
     """All categories of which the text holds a keyword; the other one if none."""
     found = F.array_compact(F.array(*[F.when(contains_any(text, ks), F.lit(name)) for name, ks in (rules or CATEGORIES).items()]))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The first row (in order) of each group of equal keys; nulls are equal to each other."""
-    first = Window.partitionBy(*keys).orderBy(*order)
+    """The first row (in order) of each group of equal keys; nulls are equal to each other. A hash of
+    the keys is sorted by first, so that long ones are compared only if they are equal."""
+    first = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
@@ -104,7 +105,19 @@ def check_split(rows: DataFrame, parts: DataFrame, id: str = "document_id") -> D
     return one.withColumn("ok", (F.col("rows_before") == F.col("rows_after")) & (F.col("docs_before") == F.col("docs_after")) & (F.col("leaked") == 0))
 
 
-RANGE_ROWS, MOST_RANGES = 1_000_000, 512  # rows ranked by one task, while the ranges suffice
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4096  # rows ranked by one task, while the ranges suffice
+
+
+def _place(bounds: Column, n: int, key: Column) -> Column:
+    """How many of n rising bounds are at most the key, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"), key.alias("k"))
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        up = F.get(bounds, mid) <= a["k"]
+        return F.when(a["lo"] >= a["hi"], a).otherwise(F.struct(F.when(up, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(up, a["hi"]).otherwise(mid).alias("hi"), a["k"].alias("k")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, step, lambda a: a["lo"])
 
 
 def assign_batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
@@ -123,7 +136,7 @@ def assign_batches(df: DataFrame, size: int, order: list[str]) -> DataFrame:
     kinds = [df.schema[c].dataType for c in order]
     key = F.struct(*order)
     over_bounds = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(b, kinds, order)]) for b in bounds]) if bounds else None
-    part = F.size(F.filter(over_bounds, lambda b: b <= key)) if bounds else F.lit(0)
+    part = _place(over_bounds, len(bounds), key) if bounds else F.lit(0)
     rows = df.withColumn("__p", part)
     numbered = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     over = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row for each range

@@ -39,6 +39,12 @@ class Retry:
         self.sleep(next((s for k, s in self.waits if k in text), 2.0**attempt))
 
 
+def _numbered(rows: int, found: list | None) -> None:
+    """An error unless there is a label for each row, or one too many."""
+    if found is None or len(found) not in {rows, rows + 1}:
+        raise ValueError(f"labels for {len(found or [])} rows of {rows}, in the JSON")
+
+
 def secret(*names: str) -> str:
     """The first of the environment's variables that is set; an error if none is."""
     for n in names:
@@ -47,8 +53,9 @@ def secret(*names: str) -> str:
     raise KeyError(f"none of {', '.join(names)} is set")
 
 
-def call(client: Client, prompts: list[str], retry: Retry) -> tuple[list[str | None], str | None]:
-    """(responses, error): one response for each prompt, or nulls and the last error."""
+def call(client: Client, prompts: list[str], retry: Retry, check: Callable[[int, str], None] | None = None) -> tuple[list[str | None], str | None]:
+    """(responses, error): one response for each prompt, or nulls and the last error. check is given
+    each prompt's place and response; what it raises is a failed try like the client's own errors."""
     error: Exception | None = None
     for attempt in range(1, retry.attempts + 1):
         try:
@@ -57,6 +64,8 @@ def call(client: Client, prompts: list[str], retry: Retry) -> tuple[list[str | N
                 out.pop()
             if len(out) != len(prompts):
                 raise ValueError(f"{len(out)} answers to {len(prompts)} prompts")
+            for k, x in enumerate(out if check else ()):
+                check(k, x)
             return out, None
         except Exception as e:  # noqa: BLE001 - whatever a client raises is a failed call
             error = e
@@ -65,8 +74,22 @@ def call(client: Client, prompts: list[str], retry: Retry) -> tuple[list[str | N
     return [None] * len(prompts), f"api_error: {error}"
 
 
-def map_prompts(df: DataFrame, prompt: str, client: Client, batch: int = 50, retry: Retry | None = None, pause: float = 0.0) -> DataFrame:
-    """df with response and error, one call of the client for batch rows of a partition."""
+def json_list(text: str | None) -> list | None:
+    """The JSON list that a response opens with, fences round it or not; None for the word SKIP. An
+    empty response, or anything else, is a ValueError."""
+    if not (text or "").strip():
+        raise ValueError("empty response")
+    if text.strip().upper() == "SKIP":
+        return None
+    found, _ = json.JSONDecoder().raw_decode(text.replace("```json", "").replace("```", "").strip())
+    if not isinstance(found, list):
+        raise ValueError("the JSON is no list")
+    return found
+
+
+def map_prompts(df: DataFrame, prompt: str, client: Client, batch: int = 50, retry: Retry | None = None, pause: float = 0.0, check: Callable[[str, pd.Series], None] | None = None) -> DataFrame:
+    """df with response and error, one call of the client for batch rows of a partition. check is
+    given each response with its row, and raises if the client is to be asked again."""
     retry = retry or Retry()
     kept = df.drop("response", "error")
     schema = T.StructType([*kept.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
@@ -75,7 +98,7 @@ def map_prompts(df: DataFrame, prompt: str, client: Client, batch: int = 50, ret
         for frame in frames:
             for lo in range(0, len(frame), batch):
                 part = frame.iloc[lo : lo + batch].copy()
-                out, error = call(client, part[prompt].fillna("").tolist(), retry)
+                out, error = call(client, part[prompt].fillna("").tolist(), retry, (lambda k, x, part=part: check(x, part.iloc[k])) if check else None)
                 part["response"], part["error"] = out, error
                 yield part
                 if pause:
@@ -134,6 +157,44 @@ def unknown_chunks(responses: DataFrame, chunks: DataFrame, response: str = "res
     return parsed.join(chunks, "chunk_id", "left_anti")
 
 
+ASK = "For each passage below write three different questions that it answers, in its language. Answer with a JSON list of objects with chunk_id and questions (three texts), or with the word SKIP if no passage allows any.\n\n%s"
+_BETWEEN = "\n\n" + "=" * 20 + "\n\n"
+
+
+def question_prompt(id: str = "chunk_id", title: str = "title", text: str = "chunk_text") -> Column:  # noqa: A002
+    """A passage as it stands in the prompt for questions."""
+    c = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    return F.concat(F.lit("\nChunk ID: "), c(id), F.lit("\n\nTitle:\n"), c(title), F.lit("\n\nPassage:\n"), c(text), F.lit("\n"))
+
+
+def generate_questions(chunks: DataFrame, client: Client, order: list[str], done: DataFrame | None = None, size: int = 20, least_words: int = 40, ask: str = ASK, retry: Retry | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, failed) of chunks (chunk_id, chunk_text, title, url, domain and others).
+
+    Chunks are put into batches of size in order. Of a batch those are asked about that are not done
+    (a table of chunk_id), belong to no list of frequent questions, are not blank and have at least
+    least_words words. A batch is one prompt; its answer is checked within the tries: no list of JSON
+    and an empty answer are asked for again, SKIP gives nothing. pairs has a row for each question of
+    a chunk of the batch that got exactly three different ones; failed are the chunks, with the
+    error, of batches whose tries all failed.
+    """
+    from textlake.functions.pytext import word_count
+    from textlake.functions.urls import is_faq
+
+    rows = assign_batches(chunks, size, order)
+    if done is not None:
+        rows = rows.join(done.select(F.col("chunk_id").alias("__done")), F.col("chunk_id") == F.col("__done"), "left_anti")
+    rows = rows.where(~is_faq(*[c for c in ("title", "url", "domain", "article_id") if c in chunks.columns]) & (word_count("chunk_text") >= least_words))
+    lines = F.sort_array(F.collect_list(F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)], question_prompt(title="title" if "title" in chunks.columns else "chunk_id").alias("line"))))
+    asked = rows.groupBy("batch_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), _BETWEEN).alias("x"))
+    asked = asked.select("batch_id", F.format_string(ask, "x").alias("__prompt"))
+    answered = map_prompts(asked, "__prompt", client, 1, retry, check=lambda x, row: json_list(x) and None)
+    good = answered.where("error is null").select("batch_id", F.explode(F.from_json(clean.without_fences("response"), QUESTIONS)).alias("q"))
+    good = good.select("batch_id", F.col("q.chunk_id").alias("chunk_id"), F.array_distinct(F.filter(F.transform("q.questions", lambda q: F.trim(q)), lambda q: F.coalesce(q, F.lit("")) != "")).alias("q")).where(F.size("q") == 3)
+    pairs = good.join(rows, ["batch_id", "chunk_id"]).select(F.explode("q").alias("question"), F.col("chunk_text").alias("positive"), *[c for c in chunks.columns if c != "chunk_text"])
+    failed = rows.join(answered.where("error is not null").select("batch_id", "error"), "batch_id").select(*chunks.columns, "error")
+    return pairs, failed
+
+
 # labels
 
 FLAGS = ("agriculture", "reusable", "person_specific", "identity_lookup", "contact_information", "navigation_or_metadata", "encoding_problem", "question_answer_match")
@@ -143,14 +204,15 @@ LABELS = "array<struct<" + ",".join(f"{f}:boolean" for f in FLAGS) + ",reason:st
 def label_batches(pairs: DataFrame, order: list[str], client: Client, prompt: Column, size: int = 50, retry: Retry | None = None) -> DataFrame:
     """pairs with their flags and llm_reason. Rows are sent in batches of size in order; a batch's
     answer is a JSON list with one label for each row, in order, to which rows are joined by position.
-    One label too many is dropped; any other number, or a failed call, gives the whole batch null
-    flags and an llm_reason that starts with api_error."""
+    One label too many is dropped. Any other number, or an answer that is no JSON list, is a failed
+    call and asked for again; if all tries fail, the whole batch gets null flags and an llm_reason
+    that starts with api_error."""
     from pyspark.sql import Window
 
     placed = assign_batches(pairs, size, order).withColumn("__at", F.row_number().over(Window.partitionBy("batch_id").orderBy(*order)) - 1)
     placed = placed.withColumn("__prompt", prompt)
     asked = placed.groupBy("batch_id").agg(F.count("*").alias("__rows"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__at", "__prompt"))), lambda x: x["__prompt"]), "\n").alias("__text"))
-    answered = map_prompts(asked, "__text", client, 1, retry or Retry(5, sleep=time.sleep))
+    answered = map_prompts(asked, "__text", client, 1, retry or Retry(5, sleep=time.sleep), check=lambda x, row: _numbered(int(row["__rows"]), json_list(x)))
     labels = F.from_json(clean.without_fences("response"), LABELS)
     answered = answered.withColumn("__labels", labels).withColumn("__off", F.size("__labels") - F.col("__rows"))
     fits = F.col("__labels").isNotNull() & F.col("__off").isin(0, 1)

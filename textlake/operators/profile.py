@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 BUCKETS = ((1, 1), (2, 3), (4, 6), (7, 10), (11, 20), (21, 1000))
@@ -32,5 +32,19 @@ def largest(df: DataFrame, key: str, k: int = 20) -> DataFrame:
     return group_sizes(df, key).orderBy(F.desc("n"), key).limit(k)
 
 
+def observed(df: DataFrame, name: str, kept: Column) -> tuple[DataFrame, Observation]:
+    """df, and an observation that holds n_total, n_kept and n_removed once df has been computed: the
+    counts of a stage come with its pass, not from another."""
+    seen = Observation(name)
+    ok = F.coalesce(kept, F.lit(False))
+    return df.observe(seen, F.count("*").alias("n_total"), F.count_if(ok).alias("n_kept"), F.count_if(~ok).alias("n_removed")), seen
+
+
+def stage_counts(df: DataFrame, kept: Column) -> DataFrame:
+    """n_total, n_kept, n_removed as a table."""
+    ok = F.coalesce(kept, F.lit(False))
+    return df.agg(F.count("*").alias("n_total"), F.count_if(ok).alias("n_kept"), F.count_if(~ok).alias("n_removed"))
+
+
 def changed(df: DataFrame, old: Column, new: Column) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(~old.eqNullSafe(new)).alias("n_changed"))

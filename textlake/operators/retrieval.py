@@ -32,22 +32,27 @@ def cosine(x: str | Column, y: str | Column) -> Column:
     return F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
 
 
-def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that have a vector, the vectors) as doubles, of length 1."""
+def _matrices(col: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By dimension: the rows that have a vector of it, and the vectors as doubles, of length 1."""
     n = np.asarray(pc.fill_null(pc.list_value_length(col), 0))
-    d = int(n.max()) if len(n) else 0
-    rows = np.flatnonzero((n == d) & (n > 0))
-    flat = np.asarray(pc.fill_null(pc.list_flatten(col.take(pa.array(rows))), np.nan), np.float64).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
-    size = np.linalg.norm(flat, axis=1) if len(rows) else np.zeros(0)
-    ok = np.isfinite(size) & (size > 0)
-    return rows[ok], flat[ok] / size[ok, None]
+    out = {}
+    for d in np.unique(n[n > 0]).tolist():
+        rows = np.flatnonzero(n == d)
+        flat = np.asarray(pc.fill_null(pc.list_flatten(col.take(pa.array(rows))), np.nan), np.float64).reshape(len(rows), d)
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.linalg.norm(flat, axis=1)
+        ok = np.isfinite(size) & (size > 0)
+        if ok.any():
+            out[d] = rows[ok], flat[ok] / size[ok, None]
+    return out
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "vec_id", embedding: str = "embedding", least: float | None = None) -> DataFrame:  # noqa: A002
     """query_id, corpus_id, score, rank: each query's k nearest by cosine, rank 1 first, ties by id.
 
-    Rows without a usable vector, or of another dimension than the queries', find and are found by
-    nothing. least drops hits whose score is lower. Scores are in double precision.
+    A query finds vectors of its own dimension only, whatever others the tables hold. Rows without a
+    usable vector find and are found by nothing. least drops hits whose score is lower. Scores are in
+    double precision.
     """
     q = queries.select(F.col(id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     c = corpus.select(F.col(id).cast("bigint").alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
@@ -57,29 +62,31 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, id: str = "vec_id
 
 
 class _Best:
-    """The k best of each query among what has been added."""
+    """The k best of each query among what has been added. queries: ids and vectors by dimension."""
 
-    def __init__(self, qid: np.ndarray, qm: np.ndarray, k: int, least: float | None) -> None:
-        self.qid, self.qm, self.k, self.least = qid, qm, k, least
+    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, least: float | None) -> None:
+        self.queries, self.k, self.least = queries, k, least
+        self.n = sum(len(ids) for ids, _ in queries.values())
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
     def add(self, col: pa.Array, ids: pa.Array) -> None:
-        at, x = _matrix(col)
-        if not len(at) or not len(self.qid) or x.shape[1] != self.qm.shape[1]:
-            return
-        cid = np.asarray(ids)[at]
+        for d, (at, x) in _matrices(col).items():
+            if d in self.queries:
+                self._add(*self.queries[d], x, np.asarray(ids)[at])
+
+    def _add(self, qid: np.ndarray, qm: np.ndarray, x: np.ndarray, cid: np.ndarray) -> None:
         for lo in range(0, len(cid), _TILE):
             part = cid[lo : lo + _TILE]
-            for a in range(0, len(self.qid), 1024):
-                s = self.qm[a : a + 1024] @ x[lo : lo + _TILE].T
+            for a in range(0, len(qid), 1024):
+                s = qm[a : a + 1024] @ x[lo : lo + _TILE].T
                 i, j = _top(s, self.k)
                 if self.least is not None:
                     ok = s[i, j] >= self.least
                     i, j = i[ok], j[ok]
-                self.parts.append((self.qid[a + i], part[j], s[i, j]))
+                self.parts.append((qid[a + i], part[j], s[i, j]))
                 self.held += len(i)
-        if self.held > 4 * self.k * len(self.qid):
+        if self.held > 4 * self.k * self.n:
             self.parts = [_reduce(self.parts, self.k)]
             self.held = len(self.parts[0][0])
 
@@ -91,15 +98,18 @@ class _Best:
 _FOUND = "query_id bigint, corpus_id bigint, score double"
 
 
+def _queries(b: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    ids = np.asarray(b.column("id"))
+    return {d: (ids[rows], x) for d, (rows, x) in _matrices(b.column("v")).items()}
+
+
 def _broadcast(q: DataFrame, c: DataFrame, k: int, least: float | None) -> DataFrame:
     table = q.toArrow().combine_chunks()
     batches = table.to_batches()
-    rows, matrix = _matrix(batches[0].column("v")) if batches else (np.zeros(0, int), np.zeros((0, 0)))
-    ids = np.asarray(batches[0].column("id"))[rows] if batches else np.zeros(0, np.int64)
-    shared = q.sparkSession.sparkContext.broadcast((ids, matrix))
+    shared = q.sparkSession.sparkContext.broadcast(_queries(batches[0]) if batches else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*shared.value, k, least)
+        best = _Best(shared.value, k, least)
         for b in batches:
             best.add(b.column("v"), b.column("id"))
         yield best.result()
@@ -118,8 +128,7 @@ def _cells(q: DataFrame, c: DataFrame, k: int, least: float | None) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in runs_of(batches, ["bq", "bc"]):
             n = int(np.searchsorted(np.asarray(b.column("side")), 1))
-            rows, matrix = _matrix(b.column("v").slice(0, n))
-            best = _Best(np.asarray(b.column("id"))[:n][rows], matrix, k, least)
+            best = _Best(_queries(b.slice(0, n)), k, least)
             best.add(b.column("v").slice(n), b.column("id").slice(n))
             yield best.result()
 
@@ -151,6 +160,13 @@ def near_duplicates(queries: DataFrame, corpus: DataFrame, label: str, tau: floa
     return top.select(F.lit(label).alias("split"), "query_id", "corpus_id", F.round("score", 4).alias("similarity"))
 
 
+def most_similar(found: DataFrame, show: int | None = None) -> DataFrame:
+    """near_duplicates' rows, the most similar first (ties by split and ids); only so many if show is
+    given, as a report does."""
+    out = found.orderBy(F.desc("similarity"), "split", "query_id", "corpus_id")
+    return out if show is None else out.limit(show)
+
+
 def context(hits: DataFrame, texts: DataFrame, tau: float = 0.30, most: int = 3000, none: str = "No context was found.") -> DataFrame:
     """query_id, context, sources of each query among the hits: the texts of the hits above tau in
     rank order, line by line, cut to most characters; the sources name origin and score."""

@@ -15,6 +15,8 @@ from textlake.functions import chunks, clean, html, urls
 from textlake.functions.pytext import COLLAPSE, DIGIT, contains_any_sql, literal, strip, strip_sql, words_sql
 from textlake.operators import dedup, ir, passages, profile, retrieval, rules
 from textlake.operators.model_calls import as_messages, generated_pairs
+from textlake.sources import readers, writers
+from textlake.sources.folders import scratch
 from textlake.sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,8 +212,18 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("rows_pct", "docs_pct")})
 
 
-@query("SELECT doc_id, 2::BIGINT AS n_splits FROM documents WHERE false")
+_LINE_SPLIT = "CASE WHEN l_linenumber % 5 < 3 THEN 'train' WHEN l_linenumber % 5 = 3 THEN 'valid' ELSE 'test' END"
+
+
+@query(f"SELECT l_orderkey, count(DISTINCT {_LINE_SPLIT}) AS n_splits FROM lineitem GROUP BY l_orderkey HAVING n_splits > 1")
 def split_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose lines were split line by line, and so stand in several splits."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.expr(_LINE_SPLIT).alias("split"))
+    return dedup.leaked_documents(lines, "l_orderkey")
+
+
+@query("SELECT doc_id, 2::BIGINT AS n_splits FROM documents WHERE false")
+def split_has_no_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return dedup.leaked_documents(dedup.with_split(docs, dedup.split_documents(docs, "doc_id"), "doc_id"), "doc_id")
 
@@ -249,14 +261,19 @@ def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 _B = ", ".join(f"({k}, '{a if a == b else f'{a}-{b}'}', {a}, {b})" for k, (a, b) in enumerate(profile.BUCKETS))
 
 
-@query(f"WITH z AS (SELECT conv_id, count(*) AS c FROM conversations GROUP BY conv_id), b(position, bucket, a, z) AS (VALUES {_B}) SELECT position::INT AS position, bucket, count(c) AS n FROM b LEFT JOIN z ON c BETWEEN b.a AND b.z GROUP BY position, bucket")
+@query(_CHUNKS + f", z AS (SELECT doc_id, count(*) AS c FROM made GROUP BY doc_id), b(position, bucket, a, z) AS (VALUES {_B}) SELECT position::INT AS position, bucket, count(c) AS n FROM b LEFT JOIN z ON c BETWEEN b.a AND b.z GROUP BY position, bucket")
 def chunk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.histogram(profile.group_sizes(table(spark, sf_dir, "conversations"), "conv_id"), "n")
+    return profile.histogram(profile.group_sizes(passages.chunk_documents(_prepared(spark, sf_dir), "text", "doc_id"), "doc_id"), "n")
 
 
-@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id ORDER BY n DESC, conv_id LIMIT 20")
+@query(_CHUNKS + "SELECT doc_id, count(*) AS n FROM made GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20")
 def largest_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.largest(table(spark, sf_dir, "conversations"), "conv_id")
+    return profile.largest(passages.chunk_documents(_prepared(spark, sf_dir), "text", "doc_id"), "doc_id")
+
+
+@query("SELECT count(*) AS n_total, count(*) FILTER (quality = 1) AS n_kept, count(*) FILTER (quality IS DISTINCT FROM 1) AS n_removed FROM labels")
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.stage_counts(table(spark, sf_dir, "labels"), F.col("quality") == 1)
 
 
 @query("SELECT source, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM documents GROUP BY source")
@@ -370,7 +387,11 @@ def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(urls.is_content_url("url", ("?utm_source", "/en/"))).select("page_id", "url")
 
 
-@query("SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')) AS title FROM pages")
+_PLAIN = "trim(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'))"
+_TITLES = "SELECT page_id, url, html, " + _PLAIN.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + " AS title FROM pages"
+
+
+@query(f"SELECT page_id, title FROM ({_TITLES})")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages").select("page_id", html.page_info()["title"].alias("title"))
 
@@ -384,9 +405,15 @@ def html_page_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = {"english": "/en/", "french": "/fr/", "shop": "pills|casino|adult", "news": "utm_source|page="}
 
 
-@query(f"SELECT page_id, unnest({urls.categories_sql('url', _RULES)}) AS category FROM pages")
+_ABOUT = "coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(url, '')"
+_DESCRIBED = f"SELECT *, {_PLAIN.format('regexp_extract(html, ' + literal('<meta name=.description. content=.([^>]*?).>') + ', 1)')} AS description FROM ({_TITLES})"
+
+
+@query(f"SELECT page_id, unnest({urls.categories_sql('about', _RULES)}) AS category FROM (SELECT page_id, {_ABOUT} AS about FROM ({_DESCRIBED}))")
 def categorise_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(urls.categories("url", _RULES)).alias("category"))
+    """By what a page's title, its description and its URL hold."""
+    pages = texts(spark, sf_dir, "pages").select("page_id", "url", html.page_info().alias("p"))
+    return pages.select("page_id", F.explode(urls.categories(urls.about("p.title", "p.description", "url"), _RULES)).alias("category"))
 
 
 @query(f"SELECT page_id, {urls.triage_sql('url')} AS verdict, {urls.triage_sql('url', 'casino|pills|spam', 'blog|/en/')} AS own_verdict FROM pages")
@@ -399,9 +426,9 @@ def skip_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "pages").select("page_id", urls.is_junk_url("url").alias("junk"), urls.is_faq("url").alias("faq"))
 
 
-@query("SELECT DISTINCT source, substr(text, 1, 40) AS title FROM documents")
+@query(f"SELECT DISTINCT page_id, title FROM ({_TITLES})")
 def title_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("source", F.substring("text", 1, 40).alias("title")).distinct()
+    return passages.titles(texts(spark, sf_dir, "pages").select("page_id", html.page_info()["title"].alias("title")), "page_id")
 
 
 # retrieval
@@ -422,9 +449,9 @@ def _hits(spark: SparkSession, sf_dir: str, k: int = 10, dims: int | None = None
     return found.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
 
 
-def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return v.alias("a").join(v.alias("b"), "label").where("a.vec_id <> b.vec_id").select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("corpus_id"))
+def _judged(spark: SparkSession, sf_dir: str, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All other vectors of a vector's label are relevant to it."""
+    return ir.judged_by_label(hits, table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", "label")
 
 
 @query(_SCORES + "SELECT query_id, corpus_id, round(score, 6) AS score, rank FROM hits")
@@ -468,7 +495,7 @@ _EACH = [(f"{m}@{k}", e.format(k=k)) for m, e in (("accuracy", "avg((h{k} > 0)::
 
 @query(_METRICS + " UNION ALL ".join(f"SELECT '{m}' AS metric, round({e}, 6) AS value FROM i" for m, e in _EACH))
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ir.metrics(_hits(spark, sf_dir), _qrels(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    return ir.metrics_of(*_judged(spark, sf_dir, _hits(spark, sf_dir))).withColumn("value", F.round("value", 6))
 
 
 _GAIN = " UNION ALL ".join(f"SELECT '{m}' AS metric, {e} AS value FROM i" for m, e in _EACH)
@@ -478,14 +505,20 @@ _SHORT = _METRICS.replace("embedding::DOUBLE[] AS x", "embedding[1:8]::DOUBLE[]
 @query(f"""WITH base AS ({_SHORT} SELECT * FROM ({_GAIN})), tuned AS ({_METRICS} SELECT * FROM ({_GAIN}))
 SELECT metric, round(b.value, 6) AS base, round(t.value, 6) AS tuned, round(t.value - b.value, 6) AS absolute_gain, CASE WHEN b.value <> 0 THEN round((t.value - b.value) / b.value * 100, 6) END AS relative_gain FROM base b JOIN tuned t USING (metric)""")
 def metric_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = ir.metrics(_hits(spark, sf_dir, dims=8), _qrels(spark, sf_dir))
-    return ir.compare(base, ir.metrics(_hits(spark, sf_dir), _qrels(spark, sf_dir))).withColumns({c: F.round(c, 6) for c in ("base", "tuned", "absolute_gain", "relative_gain")})
+    base, tuned = (ir.metrics_of(*_judged(spark, sf_dir, _hits(spark, sf_dir, dims=d))) for d in (8, None))
+    return ir.compare(base, tuned).withColumns({c: F.round(c, 6) for c in ("base", "tuned", "absolute_gain", "relative_gain")})
+
+
+_RANKS = ", g AS (SELECT query_id, min(rank) AS rank FROM hits WHERE rel GROUP BY query_id), w AS (SELECT DISTINCT query_id FROM s WHERE rel) SELECT query_id, coalesce(g.rank::VARCHAR, 'Not in Top10') AS first_rank, h.corpus_id AS top, round(h.score, 6) AS score FROM w LEFT JOIN g USING (query_id) LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)"
 
 
-@query(_SCORES + ", g AS (SELECT query_id, min(rank) AS rank FROM hits WHERE rel GROUP BY query_id), w AS (SELECT DISTINCT query_id FROM s WHERE rel) SELECT query_id, coalesce(g.rank::VARCHAR, 'Not in Top10') AS first_rank, h.corpus_id AS top, round(h.score, 6) AS top_score FROM w LEFT JOIN g USING (query_id) LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h USING (query_id)")
+@query(f"""WITH one AS ({_SCORES.replace("embedding::DOUBLE[] AS x", "embedding[1:8]::DOUBLE[] AS x")}{_RANKS}), two AS ({_SCORES}{_RANKS})
+SELECT query_id, one.first_rank AS base_rank, one.top AS base_top, one.score AS base_score, two.first_rank AS tuned_rank, two.top AS tuned_top, two.score AS tuned_score FROM one JOIN two USING (query_id)""")
 def rank_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir)
-    return ir.rank_report(hits, hits, _qrels(spark, sf_dir)).select("query_id", F.col("base_rank").alias("first_rank"), F.col("base_top").alias("top"), F.round("base_score", 6).alias("top_score"))
+    """Vectors cut to 8 dimensions stand for the base model."""
+    base, tuned = _hits(spark, sf_dir, dims=8), _hits(spark, sf_dir)
+    out = ir.rank_report_of(base, tuned, _judged(spark, sf_dir, base), _judged(spark, sf_dir, tuned))
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "tuned_score")})
 
 
 # model surfaces
@@ -522,22 +555,113 @@ def question_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through a stream that ends when it has read them."""
     import os
-    import shutil
-    import tempfile
-    import uuid
 
     from textlake.streaming import ingest
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{shared or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
-    if shared is None:
-        import atexit
-
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    root = scratch(spark, "stream")
     source = f"{sf_dir}/documents.parquet"
     single = "" if os.path.isdir(source) else "*"  # a lone file is read by a pattern that it alone matches
     schema = table(spark, sf_dir, "documents").schema
     ingest.available_now(spark, f"{source}{single}", schema, f"{root}/out", f"{root}/seen", lambda d: d.select("doc_id", clean.clean_pair_text("text").alias("text")))
     return spark.read.parquet(f"{root}/out")
+
+
+# readers and writers: what is written and read again is the table itself
+
+_DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    writers.csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return readers.csv(spark, path, _DOCUMENTS, keep_blanks=True)
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def csv_bom_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "bom")
+    writers.csv(table(spark, sf_dir, "conversations").select("role", "text", "conv_id", "turn"), path, bom=True)
+    return readers.csv(spark, path, "role string, text string, conv_id bigint, turn bigint", keep_blanks=True).select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT doc_id, quality, toxic FROM labels UNION ALL SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
+def csv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, labels = scratch(spark, "append"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    writers.csv(labels, path)
+    writers.csv(labels.where("quality = 1"), path, append=True)
+    return readers.csv(spark, path, "doc_id bigint, quality int, toxic int")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "json")
+    writers.json_lines(table(spark, sf_dir, "documents"), path)
+    return spark.read.schema(_DOCUMENTS).json(path).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query(f"SELECT {urls.triage_sql('url')} AS verdict, url FROM pages UNION ALL SELECT {urls.triage_sql('url')} AS verdict, url FROM pages WHERE contains(url, '/en/')")
+def routed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs in a folder of lines for each verdict, to which a second run adds."""
+    path = scratch(spark, "routes")
+    pages = table(spark, sf_dir, "pages").select("url", urls.triage("url").alias("verdict"))
+    writers.routed(pages, path, "verdict")
+    writers.routed(pages.where(F.col("url").contains("/en/")), path, "verdict", append=True)
+    return spark.read.text(path).select("verdict", F.col("value").alias("url"))
+
+
+@query(f"SELECT {strip_sql('url')} AS url FROM pages WHERE {strip_sql('url')} <> ''")
+def url_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "lines")
+    table(spark, sf_dir, "pages").select("url").write.text(path)
+    return readers.url_lines(spark, path)
+
+
+@query(f"SELECT {strip_sql('url')} AS url FROM pages WHERE {strip_sql('url')} <> ''")
+def sitemap_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "sitemap")
+    writers.sitemap(table(spark, sf_dir, "pages"), path)
+    return readers.sitemap(spark, path)
+
+
+@query("SELECT doc_id, text, ((row_number() OVER (ORDER BY doc_id) - 1) // 50)::INT AS batch_id FROM documents")
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "batches")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    writers.batches(dedup.assign_batches(docs, 50, ["doc_id"]), path)
+    return readers.csv(spark, path, "doc_id bigint, text string, batch_id int", keep_blanks=True)
+
+
+@query("SELECT 'm_' || source AS metric, count(*)::DOUBLE AS value FROM documents WHERE source IS NOT NULL GROUP BY source")
+def metrics_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "metrics")
+    count = table(spark, sf_dir, "documents").where("source is not null").groupBy(F.col("source").alias("metric")).agg(F.count("*").cast("double").alias("value"))
+    writers.metrics_json(count, path, "m_")
+    return readers.metrics_json(spark, path)
+
+
+@query("SELECT DISTINCT doc_id, quality, toxic FROM labels")
+def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written over what it is read from: as a version beside it."""
+    root = scratch(spark, "versions")
+    first = writers.next_version(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), root, 1)
+    return spark.read.parquet(writers.next_version(spark.read.parquet(first).distinct(), root, 2))
+
+
+def _landed(url: str) -> str:
+    """A fetcher that has no network: pages of one language are down."""
+    if "/de/" in url:
+        raise OSError("down")
+    return f"<title>{url}</title>"
+
+
+@query("SELECT url, CASE WHEN contains(url, '/de/') THEN NULL ELSE '<title>' || url || '</title>' END AS html, CASE WHEN contains(url, '/de/') THEN 'down' END AS error FROM pages")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.fetch(texts(spark, sf_dir, "pages"), _landed, 2, pause=lambda attempt: None, between=lambda: None)
+
+
+@query("SELECT url FROM pages WHERE contains(url, '/de/')")
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "dead")
+    writers.dead_letters(fetched_pages(spark, sf_dir), path)
+    return readers.url_lines(spark, path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import time
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,9 +83,43 @@ def binary_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list
     return files.mapInPandas(run, "doc string, page_no int, text string")
 
 
-def fetch(urls_: DataFrame, fetcher: Callable[[str], str], attempts: int = 3, pause: Callable[[int], None] = lambda attempt: None) -> DataFrame:
-    """url, html, error of each URL by an injected fetcher, asked up to attempts times. html is null
-    where all failed; those rows are the dead letters."""
+AGENT = "Mozilla/5.0 (compatible; textlake)"
+
+
+def http_get(timeout: float = 60.0, agent: str = AGENT) -> Callable[[str], str]:
+    """A fetcher of pages: text in the server's charset (else UTF-8); a status of 400 or more, or no
+    answer in time, is an error."""
+
+    def get(url: str) -> str:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            return r.read().decode(r.headers.get_content_charset() or "utf-8", errors="replace")
+
+    return get
+
+
+def sitemap_over_http(spark: SparkSession, url: str, fetcher: Callable[[str], str] | None = None, content_only: bool = False) -> DataFrame:
+    """url of each distinct entry of one sitemap that is fetched; a failed fetch is an error."""
+    text = (fetcher or http_get())(url)
+    rows = spark.createDataFrame([(text,)], "x string").select(F.explode(F.xpath("x", F.lit("/*[local-name()='urlset']/*[local-name()='url']/*[local-name()='loc']/text()"))).alias("url"))
+    found = rows.select(strip("url").alias("url")).where("url <> ''").distinct()
+    return found.where(urls.is_content_url("url")) if content_only else found
+
+
+def wait_before_retry(attempt: int) -> None:
+    """8 to 15 seconds, unlike in each task."""
+    time.sleep(random.uniform(8, 15))
+
+
+def wait_between_pages() -> None:
+    """1 to 2 seconds."""
+    time.sleep(random.uniform(1, 2))
+
+
+def fetch(urls_: DataFrame, fetcher: Callable[[str], str], attempts: int = 3, pause: Callable[[int], None] = wait_before_retry, between: Callable[[], None] = wait_between_pages) -> DataFrame:
+    """url, html, error of each URL by an injected fetcher (http_get's, say), asked up to attempts
+    times with pause in between, and with between after each page that came. html is null where all
+    failed; those rows are the dead letters. How many pages are asked for at a time is the number of
+    partitions of urls_ that run at once."""
     rows = urls_.select("url")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,10 +130,12 @@ def fetch(urls_: DataFrame, fetcher: Callable[[str], str], attempts: int = 3, pa
                 for attempt in range(1, attempts + 1):
                     try:
                         html, error = fetcher(url), None
+                        between()
                         break
                     except Exception as e:  # noqa: BLE001 - whatever a fetcher raises is a failed try
                         error = str(e) or type(e).__name__
-                        pause(attempt)
+                        if attempt < attempts:
+                            pause(attempt)
                 out.append((url, html, error))
             yield pd.DataFrame(out, columns=["url", "html", "error"])
 

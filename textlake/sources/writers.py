@@ -14,9 +14,10 @@ def csv(df: DataFrame, path: str, append: bool = False, bom: bool = False) -> No
     out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').option("quoteAll", bom).csv(path)
 
 
-def routed(df: DataFrame, path: str, by: str) -> None:
-    """One folder of text lines for each value of by (categories, verdicts, batches)."""
-    df.write.mode("overwrite").partitionBy(by).text(path)
+def routed(df: DataFrame, path: str, by: str, append: bool = False) -> None:
+    """One folder of text lines for each value of by (categories, verdicts, batches); append adds to
+    what earlier runs wrote."""
+    df.write.mode("append" if append else "overwrite").partitionBy(by).text(path)
 
 
 def batches(df: DataFrame, path: str) -> None:
@@ -39,6 +40,18 @@ def metrics_text(metrics: DataFrame, path: str) -> None:
     metrics.select(F.concat_ws(": ", "metric", F.col("value").cast("string")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def comparison_csv(comparison: DataFrame, path: str) -> None:
+    """A comparison of metrics as one CSV file: numbers with 6 places, nothing where there is none."""
+    six = [F.coalesce(F.format_string("%.6f", c), F.lit("")).alias(c) for c in comparison.columns if c != "metric"]
+    rows = comparison.orderBy("metric").select("metric", *[F.when(F.col(x).isNotNull(), c).alias(x) for x, c in zip([c for c in comparison.columns if c != "metric"], six)])
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def sitemap(urls: DataFrame, path: str, url: str = "url") -> None:
+    """The URLs as sitemap files."""
+    urls.select(F.col(url).alias("loc")).write.mode("overwrite").option("rootTag", "urlset").option("rowTag", "url").xml(path)
+
+
 def next_version(df: DataFrame, root: str, version: int) -> str:
     """Write a new version beside those that are read from, and give its path."""
     path = f"{root}/v={version}"
