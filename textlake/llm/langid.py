@@ -221,7 +221,7 @@ def decide(model: Model, col: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarra
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield from slices(b, size=8_000_000)
+        yield from slices(b, size=4_000_000)
 
 
 def trusted(texts: list[str], parts_of: int = 10) -> list[str]:

@@ -330,7 +330,7 @@ def described_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     sent = texts.join(meets, ["doc_id", "tid"]).select(*keys, "words", "tile", "text").repartition(partitions_for(docs), *keys).sortWithinPartitions(*keys, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f, at in _whole_runs(batches, keys, lambda b: slices(b, size=8_000_000)):
+        for f, at in _whole_runs(batches, keys, slices):
             words, tile, lo = (np.asarray(f.column(c)) for c in ("words", "tile", "lo"))
             hi, text, out = np.asarray(f.column("hi")), f.column("text"), []
             for a, b in zip(at[:-1], at[1:]):

@@ -284,7 +284,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for whole in batches:
-            for b in slices(whole, size=6_000_000):
+            for b in slices(whole, size=4_000_000):
                 ids, off = encode(b.column("text"), p)
                 out = decode(ids, off, p)
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off), pa.int32()), _lists(ids, off), out.cast(pa.string())], ["doc_id", "n_pieces", "ids", "decoded"])
