@@ -64,9 +64,26 @@ def test_matches_are_all_occurrences():
 
     p = sa.pieces(sa.MODEL)
     text = "▁the▁theatre▁then▁é"
-    table = sa.suffix_matches(np.array([ord(c) for c in text], np.uint32), p)
+    edges = sa.suffix_matches(np.array([ord(c) for c in text], np.uint32), p)
+    assert (np.diff(edges.first) >= 0).all() and edges.first[-1] == len(edges.which) - 1
     known = {SP.id_to_piece(int(i)): k for k, i in enumerate(p.ids)}
     for a in range(len(text)):
         for n in range(1, p.depth + 1):
             piece = text[a : a + n]
-            assert table[a, n] == (known.get(piece, -1) if a + n <= len(text) else -1)
+            assert edges.find(np.array([a]), np.array([n]))[0] == (known.get(piece, -1) if a + n <= len(text) else -1)
+
+
+@pytest.mark.parametrize("depth", [3, 16, 63, 64, 200])
+def test_edges_are_found(depth):
+    import numpy as np
+
+    r = np.random.default_rng(depth)
+    spots = sorted({(int(a), int(n)) for a, n in zip(r.integers(0, 50, 900), r.integers(1, depth + 1, 900))})
+    shuffled = r.permutation(len(spots))
+    a, n = np.array(spots)[shuffled].T
+    edges = sa.Edges(a, n, shuffled.astype(np.int32), 50, depth)
+    assert edges.which[:-1].tolist() == list(range(len(spots)))  # sorted by position and length
+    every = [(i, k) for i in range(50) for k in range(depth + 1)]
+    known = {x: k for k, x in enumerate(spots)}
+    i, k = np.array(every).T
+    assert edges.find(i, k).tolist() == [known.get(x, -1) for x in every]

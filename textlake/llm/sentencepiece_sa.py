@@ -3,7 +3,7 @@
 A batch's texts are cut where no piece can reach across (before spaces), and the distinct units are
 laid end to end. A suffix array of that text is built to the depth of the longest piece; every piece
 is found in it by binary search, which gives its range of occurrences. The occurrences are edges
-from a position over a length; they are bucketed by position and length and then relaxed.
+from a position over a length; they are sorted by position and length and then relaxed.
 
 The order of relaxation is the model's: this reads BPE models, in which the piece of the best score
 that joins two current neighbours is formed first, and not the path of the best summed score.
@@ -78,8 +78,55 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def suffix_matches(cp: np.ndarray, p: Pieces) -> np.ndarray:
-    """(positions, depth + 1) table of the piece (its index, or -1) at each position and length."""
+class Edges:
+    """Occurrences of pieces, sorted by position and length. has holds, for each position, a bit for
+    each length of an edge from it, so that an edge's place is that of the position's first one and
+    the number of shorter ones."""
+
+    def __init__(self, start: np.ndarray, length: np.ndarray, which: np.ndarray, n: int, depth: int) -> None:
+        order = _sorted(start * (depth + 1) + length)
+        start, length = start[order], length[order]
+        self.which = np.append(which[order], -1)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=n))])
+        self.bit = np.uint64(1) << (np.arange(depth + 1) & 63).astype(np.uint64)
+        self.below = self.bit - np.uint64(1)
+        self.has = []
+        for k in range(depth // 64 + 1):  # the bits of a position's edges differ, so that their sum joins them
+            own = length >> 6 == k if depth >= 64 else slice(None)
+            at, bits = start[own], self.bit[length[own]]
+            new = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, int)
+            word = np.zeros(n, np.uint64)
+            word[at[new]] = np.add.reduceat(bits, new) if len(at) else 0
+            self.has.append(word)
+
+    def place(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The place among the edges of the one from each start over each length; the last, which is
+        no edge's, where there is none."""
+        at = self.first[start]
+        if len(self.has) == 1:
+            has = self.has[0][start]
+        else:
+            has = np.choose(length >> 6, [w[start] for w in self.has])
+            for k, w in enumerate(self.has[:-1]):
+                at = at + np.where(k < length >> 6, np.bitwise_count(w[start]), 0)
+        at = at + np.bitwise_count(has & self.below[length])
+        return np.where(has & self.bit[length], at, len(self.which) - 1)
+
+    def find(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The piece (its index, or -1) that leads from each start over each length."""
+        return self.which[self.place(start, length)]
+
+
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """The order of non-negative keys, 16 bits at a time, the lowest first: a radix sort."""
+    order = np.arange(len(keys))
+    for shift in range(0, max(int(keys.max(initial=0)).bit_length(), 1), 16):
+        order = order[np.argsort((keys[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
+
+
+def suffix_matches(cp: np.ndarray, p: Pieces) -> Edges:
+    """The occurrences of all pieces in a text of code points."""
     here = np.intersect1d(np.unique(cp), p.alphabet)
     two = len(here) > 253
     code = (np.arange(len(here)) + 1).astype(np.uint16 if two else np.uint8)
@@ -106,19 +153,18 @@ def suffix_matches(cp: np.ndarray, p: Pieces) -> np.ndarray:
     hi = np.searchsorted(sorted_suffixes, np.ascontiguousarray(high).view(flat).ravel(), "right")
     start = order[take_ranges(lo, hi - lo)]
     which = np.repeat(possible, hi - lo)
-    table = np.full((len(cp), p.depth + 1), -1, np.int32)
-    table[start, p.length[which]] = which
-    return table
+    return Edges(start, p.length[which], which.astype(np.int32), len(cp), p.depth)
 
 
-def _merge_long(a: int, b: int, table: np.ndarray, p: Pieces) -> list[int]:
+def _merge_long(a: int, b: int, edges: Edges, p: Pieces) -> list[int]:
     """Ends of the pieces of cp[a:b], by a heap of joins."""
+    table = edges.find(np.repeat(np.arange(a, b), p.depth + 1), np.tile(np.arange(p.depth + 1), b - a)).reshape(b - a, -1)
     nxt, prv, end = list(range(1, b - a + 1)), list(range(-1, b - a - 1)), list(range(a + 1, b + 1))
     heap: list[tuple[int, int, int]] = []
 
     def offer(i: int) -> None:
         j = nxt[i]
-        if i >= 0 and j < b - a and (n := end[j] - (a + i)) <= p.depth and (k := table[a + i, n]) >= 0:
+        if i >= 0 and j < b - a and (n := end[j] - (a + i)) <= p.depth and (k := table[i, n]) >= 0:
             heapq.heappush(heap, (int(p.rank[p.ids[k]]), i, end[j]))
 
     for i in range(b - a):
@@ -141,27 +187,26 @@ def _merge_long(a: int, b: int, table: np.ndarray, p: Pieces) -> list[int]:
     return out
 
 
-def _relax(cp: np.ndarray, runs: np.ndarray, table: np.ndarray, p: Pieces) -> np.ndarray:
+def _relax(cp: np.ndarray, runs: np.ndarray, edges: Edges, p: Pieces) -> np.ndarray:
     """Sorted ends of all pieces; runs are the starts of the stretches that no piece leaves."""
     n = len(cp)
     bound = np.append(runs, n)
     size = np.diff(bound)
     ends = [np.zeros(0, np.int64)]
     for r in np.flatnonzero(size > _LONG):
-        ends.append(np.array(_merge_long(int(bound[r]), int(bound[r + 1]), table, p), np.int64))
+        ends.append(np.array(_merge_long(int(bound[r]), int(bound[r + 1]), edges, p), np.int64))
     short = np.flatnonzero(size <= _LONG)
     start = take_ranges(bound[short], size[short])
     run = np.repeat(np.arange(len(short)), size[short])
     stop = start + 1
-    rank = np.append(p.rank, _NONE)
-    ids = np.append(p.ids, p.size)  # index -1 is the absent piece
+    rank = np.append(p.rank[p.ids[edges.which[:-1]]], _NONE)  # by place
 
     def joins(i: np.ndarray, start: np.ndarray, stop: np.ndarray, run: np.ndarray) -> np.ndarray:
         """The rank of joining symbols i and i + 1."""
         j = np.minimum(i + 1, len(start) - 1)
         length = stop[j] - start[i]
         ok = (i + 1 < len(start)) & (run[j] == run[i]) & (length <= p.depth)
-        return np.where(ok, rank[ids[table[start[i], np.where(ok, length, 0)]]], _NONE)
+        return np.where(ok, rank[edges.place(start[i], np.where(ok, length, 0))], _NONE)
 
     best = joins(np.arange(len(start)), start, stop, run) if len(start) else np.zeros(0, np.int64)
     while len(start):
@@ -200,14 +245,14 @@ def encode_units(units: pa.Array, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
         cp = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
         cp[cp == 32] = ord(_SPACE)
         heads = np.concatenate([[0], np.cumsum(size[a:b])])
-        table = suffix_matches(cp, p)
+        edges = suffix_matches(cp, p)
         pair = cp[:-1].astype(np.uint64) << np.uint64(32) | cp[1:].astype(np.uint64)
         spot = np.minimum(np.searchsorted(p.inside, pair), len(p.inside) - 1)
         cut_at = np.append(True, p.inside[spot] != pair)
         cut_at[heads[:-1]] = True
-        stop = _relax(cp, np.flatnonzero(cut_at), table, p)
+        stop = _relax(cp, np.flatnonzero(cut_at), edges, p)
         start = np.append(0, stop[:-1])
-        which = table[start, stop - start]
+        which = edges.find(start, np.minimum(stop - start, p.depth))
         found = np.where(which >= 0, p.ids[which], -1)
         unit = np.searchsorted(heads, start, "right") - 1
         lost = np.flatnonzero(found < 0)
@@ -284,7 +329,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
         for whole in batches:
-            for b in slices(whole, size=4_000_000):
+            for b in slices(whole, size=6_000_000):
                 ids, off = encode(b.column("text"), p)
                 out = decode(ids, off, p)
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off), pa.int32()), _lists(ids, off), out.cast(pa.string())], ["doc_id", "n_pieces", "ids", "decoded"])
