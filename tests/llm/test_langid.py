@@ -157,3 +157,43 @@ def test_wrong_labels_do_not_move_the_limits(spark, sf):
         model = langid.fit({"en": good[:half]}, {"en": good[half:] + [other(a, k) for k in range(bad)]})
         assert np.allclose(model.limit, clean.limit, rtol=0.05) and np.allclose(model.ceiling, clean.ceiling, rtol=0.05)
         assert not langid.decide(model, pa.array([other(a, 900 + k) for k in range(20)]))["ok"].any()
+
+
+def test_rare_texts_of_a_language_are_kept(spark, monkeypatch):
+    few = [f"wort{k} und noch eines mehr {'xyz'[k % 3]}" for k in range(5)]
+    df = spark.range(200_000).selectExpr("CASE WHEN id < 100000 THEN element_at(array(" + ",".join(f"'{t}'" for t in few) + "), cast(id % 5 + 1 AS int)) ELSE concat('the text of number ', id) END AS text", "CASE WHEN id < 100000 THEN 'aa' ELSE 'bb' END AS lang")
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, held: seen.update(texts=texts, held=held))
+    langid.train(df)
+    assert sorted(seen["texts"]["aa"] + seen["held"]["aa"]) == sorted(few)
+    h = {r.text: r.h for r in df.withColumn("h", hash_u63(F.col("text"), seed=7)).where("lang = 'bb'").collect()}
+    order = sorted(h, key=h.get)[:600]
+    assert seen["held"]["bb"] == order[2::3] and seen["texts"]["bb"] == langid.trusted([t for k, t in enumerate(order) if k % 3 != 2])
+
+
+def test_bounds_of_the_sample(spark, monkeypatch):
+    data = [(f"{'x' * 50} {k}", f"l{k % 7}") for k in range(140)] + [("y" * 9000, "long"), ("z" * 9000, "long")]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, held: seen.update(texts=texts, held=held))
+    df = spark.createDataFrame(data, "text string, lang string")
+    langid.train(df, max_chars=500)
+    size = {k: sum(map(len, seen["texts"].get(k, []) + seen["held"].get(k, []))) for k in seen["texts"]}
+    assert set(size) == {f"l{k}" for k in range(7)} | {"long"} and size.pop("long") == 9000 and all(500 <= n < 560 for n in size.values())
+    langid.train(df, max_languages=3)
+    assert set(seen["texts"]) == {"l0", "l1", "l2"}
+
+
+def test_limits_are_the_plain_ones():
+    held = [f"the cat {'sat on the mat ' * (k % 7)} {chr(97 + k % 26) * (k % 4)}" for k in range(60)]
+    model = langid.fit({"en": TEXTS["en"]}, {"en": held})
+    bits = plain(TEXTS["en"])
+    ce = np.array([bits(t) for t in held])
+    n = np.array([len(" ".join(t.split())) + 1 for t in held])
+    mean = np.median(ce)
+    assert np.isclose(model.mean[0], mean, rtol=1e-4)
+    assert np.isclose(model.var_text[0], (1.4826 * np.median(abs(ce - mean))) ** 2, rtol=1e-2)
+    z = (ce - mean) / np.sqrt(model.var_char[0] / n + model.var_text[0] + 1e-9)
+    assert np.isclose(model.limit[0], max(8, 1.5 * np.quantile(z, langid.CLEAN)), rtol=1e-2)
+    assert np.isclose(model.ceiling[0], max(3 * mean, 1.5 * np.quantile(ce, langid.CLEAN)), rtol=1e-2)
+    found = langid.decide(model, pa.array(["the cat sat", "qqqq xxxx zzzz qqqq xxxx zzzz qqqq"]))
+    assert found["ok"].tolist() == [True, False] and np.isclose(found["bits_per_char"][0], bits("the cat sat"), rtol=1e-4)

@@ -243,19 +243,26 @@ def trusted(texts: list[str], parts_of: int = 10) -> list[str]:
     return [t for t, x in zip(texts, out) if not x]
 
 
-def train(docs: DataFrame, label: str = "lang", max_docs: int = 400, max_held_out: int = 200, seed: int = 7) -> Model | None:
+def train(docs: DataFrame, label: str = "lang", max_docs: int = 400, max_held_out: int = 200, max_chars: int = 8_000_000, max_languages: int = 256, seed: int = 7) -> Model | None:
     """Fit on at most max_docs labelled texts of each language, calibrate on max_held_out others.
 
-    The sample is the distinct texts with the lowest hashes, so it does not depend on the layout.
-    Rows with a null or blank label or text are left out. None if nothing is left. The hashes of
-    each language's distinct texts are ranked first, whatever the number of copies; only the texts
-    of the chosen hashes are moved.
+    The sample is the distinct texts with the lowest hashes, so it does not depend on the layout; a
+    language's texts end with the one that brings them to max_chars characters. There is a model for
+    each label, or for the max_languages with the most distinct texts in the sample (ties by name).
+    The four bounds are those of the sample: they hold what the driver takes to max_languages x
+    max_chars. Rows with a null or blank label or text are left out. None if nothing is left. The
+    hashes of each language's distinct texts are ranked first, whatever the number of copies; only
+    the texts of the chosen hashes are moved. Repeated rows and texts count once; other columns play
+    no part.
     """
     rows = docs.select(F.col(label).cast("string").alias("l"), text_or_empty().alias("t")).where("trim(l) <> '' and trim(t) <> ''").withColumn("h", hash_u63("t", seed=seed))
     wanted = max_docs + max_held_out
     w = Window.partitionBy("l").orderBy("h")
     chosen = cut(rows.select("l", "h").distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= wanted))
-    rows = rows.join(small_side(chosen), ["l", "h"]).groupBy("l", "r").agg(F.min("t").alias("t"))
+    most = chosen.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).select("l")
+    rows = rows.join(small_side(chosen), ["l", "h"]).join(F.broadcast(most), "l").groupBy("l", "r").agg(F.min("t").alias("t"))
+    so_far = F.sum(F.length("t")).over(Window.partitionBy("l").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.where("t is not null").withColumn("__n", F.coalesce(so_far, F.lit(0))).where(F.col("__n") < max_chars).drop("__n")
     texts: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for x in sorted(rows.collect(), key=lambda x: (x.l, x.r)):
@@ -289,7 +296,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without the rejected rows, in the same columns; lang holds the language found."""
+    """docs without the rejected rows, in the same columns; lang holds the language found.
+
+    Null, empty and letterless texts are rejected; so is every row if there is no model. Rows are
+    judged by their text alone: a null doc_id, repeated rows and all other columns, whatever their
+    names, are passed on as they are. Texts of any length are scored whole. An empty table gives no
+    rows. docs must have the columns text and lang, which becomes a string.
+    """
     cols = docs.columns
     rows = docs.withColumn("lang", F.col("lang").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
