@@ -56,14 +56,18 @@ def plain(texts):
             return lower
         return max(raw[m][context + letter] - d[m], 0) / total[m][context] + d[m] * kinds[m][context] / total[m][context] * lower
 
-    def bits(text):
-        out, n = 0.0, 0
-        for w in text.split():
-            w = f" {w} "
-            for i in range(1, len(w)):
-                out -= math.log2(p(w[:i], w[i], min(langid.ORDER, i + 1)))
-                n += 1
-        return out / n
+    known = {}
+
+    def of_word(w):
+        if w not in known:
+            x = [-math.log2(p(f" {w} "[:i], f" {w} "[i], min(langid.ORDER, i + 1))) for i in range(1, len(w) + 2)]
+            known[w] = sum(x), sum(v * v for v in x), len(x)
+        return known[w]
+
+    def bits(text, square=False):
+        """Bits of a letter on average, or their squares."""
+        found = [of_word(w) for w in text.split()]
+        return sum(x[square] for x in found) / sum(x[2] for x in found)
 
     return bits
 
