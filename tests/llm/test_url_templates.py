@@ -186,6 +186,15 @@ def test_against_brute_force(spark):
     assert all(not r[7] for r in found if "/spam/" in r[1])
 
 
+def test_large_hosts_level_by_level(spark, monkeypatch):
+    pages, labels = made(3, 400)
+    pages += [(900 + k, "http://a.example/" + "/".join("abcdefghijk"[: k % 12]) + f"/x{chr(97 + k)}", "") for k in range(24)]
+    before = ours(spark, pages, labels)
+    for limit in (0, 40):
+        monkeypatch.setattr(ut, "HOST_SHAPES", limit)
+        assert ours(spark, pages, labels) == before
+
+
 def test_odd_rows(spark):
     pages = [
         (1, "http://h/5", None), (1, "http://h/5", None), (2, None, None), (None, "http://h/6.html", ""), (3, "", ""), (4, "not a url", ""), (5, "//h", ""),

@@ -8,8 +8,10 @@ spread alike and whose labels do not differ significantly are merged. Each root-
 remains is a template; those whose share of good labels, smoothed towards the host's and the host's towards the whole, is too low
 are rejected.
 
-Only counts of distinct shapes are ever grouped. The tree of one host is merged in one task; its
-nodes are those of at least MIN_URLS URLs, MIN_LABELS labels or min_share of their parent.
+Only counts of distinct shapes are ever grouped. A host of up to HOST_SHAPES of them is generalised in
+one task, at once with its merging; larger hosts are generalised level by level in joins, with the
+same result, until the nodes that remain (of at least MIN_URLS URLs, MIN_LABELS labels or min_share
+of their parent) are merged in one task.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import cut
+from textlake.llm.common import cut, small_side
 
 MIN_SHARE, MAX_DEPTH = 0.02, 8
 MIN_URLS, MIN_LABELS = 8, 2  # a branch of so many is judged by itself, however small a part it is
 SMOOTHING, MIN_PURITY = 8.0, 0.6
+HOST_SHAPES = 200_000  # distinct shapes of a host that one task generalises
 SPREAD, SIGNIFICANCE = 0.05, 2.58  # largest Jensen-Shannon divergence (bits) and |z| of what is alike
+_WILD = ("{n}", "{date}", "{id}", "**")
 _EXT = r"(\.[A-Za-z][A-Za-z0-9]{0,4})?"
 _DATE = r"/(?:19|20)\d\d/(?:0[1-9]|1[0-2])(?:/(?:0[1-9]|[12]\d|3[01]))?(?=/[^/?#])"
 _KINDS = (
@@ -188,6 +192,46 @@ def templates(shapes: list[tuple[tuple[str, ...], int, int, int]]) -> dict[tuple
     return out
 
 
+Shape = tuple[tuple[str, ...], int, int, int]
+
+
+def generalise(shapes: list[Shape], min_share: float) -> list[tuple[str, ...]]:
+    """The segments of each of a host's distinct shapes (segments, URLs, labelled, good), in which
+    rare children are "*"."""
+    general: list[tuple[str, ...]] = [()] * len(shapes)
+    open_ = set(range(len(shapes)))
+    d = 0
+    while open_:
+        total: dict[tuple, list[int]] = {}
+        count: dict[tuple, list[int]] = {}
+        for g, (_, n, labelled, _) in zip(general, shapes):
+            t = total.setdefault(g, [0, 0])
+            t[0], t[1] = t[0] + n, t[1] + labelled
+        child = {}
+        for k in sorted(open_):
+            segs, n, labelled, _ = shapes[k]
+            if len(segs) <= d:
+                open_.discard(k)
+                continue
+            t = total[general[k]]
+            if d >= MAX_DEPTH and t[0] < MIN_URLS and t[1] < MIN_LABELS:
+                child[k] = "**"
+                open_.discard(k)
+            else:
+                child[k] = segs[d]
+            c = count.setdefault((general[k], child[k]), [0, 0])
+            c[0], c[1] = c[0] + n, c[1] + labelled
+        named = {}
+        for k, x in child.items():
+            n, labelled = count[general[k], x]
+            enough = n >= min_share * total[general[k]][0] or n >= MIN_URLS or labelled >= MIN_LABELS
+            named[k] = x if enough or x in _WILD else "*"
+        for k, x in named.items():
+            general[k] = (*general[k], x)
+        d += 1
+    return general
+
+
 def _generalised(shapes: DataFrame, min_share: float) -> DataFrame:
     """host, segs, n, labelled, good with gsegs, in which rare children are "*"."""
     now = shapes.withColumns({"gsegs": F.array().cast("array<string>"), "open": F.lit(True)})
@@ -202,7 +246,7 @@ def _generalised(shapes: DataFrame, min_share: float) -> DataFrame:
             deep = deep.withColumn("child", F.when(F.col("child").isNotNull() & few, "**").otherwise(F.col("child"))).drop("t", "k")
         count = deep.where("child is not null").groupBy("host", "gsegs", "child").agg(F.sum("n").alias("c"), F.sum("labelled").alias("l"))
         enough = (F.col("c") >= min_share * F.col("t")) | (F.col("c") >= MIN_URLS) | (F.col("l") >= MIN_LABELS)
-        kept = count.join(total, ["host", "gsegs"]).where(enough | F.col("child").isin("{n}", "{date}", "{id}", "**")).select("host", "gsegs", "child", F.lit(True).alias("kept"))
+        kept = count.join(total, ["host", "gsegs"]).where(enough | F.col("child").isin(*_WILD)).select("host", "gsegs", "child", F.lit(True).alias("kept"))
         name = F.when(F.col("child").isNull(), F.array().cast("array<string>")).when(F.col("kept"), F.array("child")).otherwise(F.array(F.lit("*")))
         now = cut(deep.join(kept, ["host", "gsegs", "child"], "left").withColumn("gsegs", F.concat("gsegs", name)).drop("child", "kept"))
         d += 1
@@ -227,21 +271,40 @@ def filter_urls(pages: DataFrame, labels: DataFrame, url: str = "url", id: str =
     known = known.groupBy("number").agg(F.min("good").alias("good"))
     seen = rows.select("host", "segs", "number").join(known, "number", "left")
     shapes = cut(seen.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")))
-    general = _generalised(shapes, min_share)
-    tree = general.groupBy("host", "gsegs").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+    kind = "host string, gsegs array<string>, n bigint, labelled bigint, good bigint, template string"
 
-    def per_host(frame: pd.DataFrame) -> pd.DataFrame:
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
         found = templates([(tuple(s), int(n), int(k), int(g)) for s, n, k, g in zip(frame["gsegs"], frame["n"], frame["labelled"], frame["good"])])
         frame["template"] = [found[tuple(s)] for s in frame["gsegs"]]
         return frame
 
-    named = cut(tree.groupBy("host").applyInPandas(per_host, "host string, gsegs array<string>, n bigint, labelled bigint, good bigint, template string"))
+    def whole_host(frame: pd.DataFrame) -> pd.DataFrame:
+        shapes = [(tuple(s), int(n), int(k), int(g)) for s, n, k, g in zip(frame["segs"], frame["n"], frame["labelled"], frame["good"])]
+        general = generalise(shapes, min_share)
+        sums: dict[tuple[str, ...], list[int]] = {}
+        for g, x in zip(general, shapes):
+            t = sums.setdefault(g, [0, 0, 0])
+            for k in range(3):
+                t[k] += x[k + 1]
+        found = templates([(g, *t) for g, t in sums.items()])
+        frame["template"] = [found[g] for g in general]
+        return frame
+
+    large = cut(shapes.groupBy("host").count().where(F.col("count") > HOST_SHAPES).select("host"))
+    of_shape = shapes.join(small_side(large), "host", "left_anti").groupBy("host").applyInPandas(whole_host, "host string, segs array<string>, n bigint, labelled bigint, good bigint, template string")
+    if large.count():
+        general = _generalised(shapes.join(small_side(large), "host", "left_semi"), min_share)
+        tree = general.groupBy("host", "gsegs").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+        named = cut(tree.groupBy("host").applyInPandas(merged, kind))
+        of_shape = of_shape.unionByName(general.join(named.select("host", "gsegs", "template"), ["host", "gsegs"]).drop("gsegs"))
+    named = cut(of_shape)
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "good")]
     by_host = named.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("good").alias("hg"))
     whole = named.agg(F.sum("labelled").alias("wl"), F.sum("good").alias("wg"))
     base = F.try_divide(F.col("wg"), F.col("wl"))
     hosts = by_host.crossJoin(F.broadcast(whole)).select("host", ((F.col("hg") + smoothing * base) / (F.col("hl") + smoothing)).alias("rate"))
     judged = named.groupBy("host", "template").agg(*sums).join(hosts, "host").withColumn("purity", F.round((F.col("good") + smoothing * F.col("rate")) / (F.col("labelled") + smoothing), 9))
-    of_shape = general.select("host", "segs", "gsegs").join(named.select("host", "gsegs", "template"), ["host", "gsegs"]).join(judged.select("host", "template", F.col("n").alias("n_urls"), F.col("labelled").alias("n_labelled"), "purity"), ["host", "template"])
-    out = rows.join(of_shape.drop("gsegs"), ["host", "segs"], "left")
+    judged = cut(judged.select("host", "template", F.col("n").alias("n_urls"), F.col("labelled").alias("n_labelled"), "purity"))
+    of_shape = cut(named.select("host", "segs", "template").join(small_side(judged, 4), ["host", "template"]))
+    out = rows.join(small_side(of_shape, 8), ["host", "segs"], "left")
     return out.select(F.col("id").alias(id), "url", "host", "template", "n_urls", "n_labelled", "purity", F.coalesce(F.col("purity") >= min_purity, F.lit(True)).alias("keep"))
