@@ -10,6 +10,7 @@ A group that is much larger, as repeated rows share one, is packed portion by po
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -172,6 +173,33 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, eot: int = EOT, docs_p
     return rows.mapInArrow(run, SCHEMA)
 
 
+class _Files:
+    """A group's files, written as its rows come."""
+
+    def __init__(self, fs: pa.fs.FileSystem, root: str, group: int) -> None:
+        self.fs, self.root, self.group, self.name, self.rows, self.at = fs, root, group, f"group-{group:08d}", 0, 0
+        self.open = {what: fs.open_output_stream(self.path(what)) for what in ("ids", "positions", "cu", "cu_at")}
+        self.open["cu_at"].write(np.zeros(1, "<i8").tobytes())
+
+    def path(self, what: str) -> str:
+        return f"{self.root}/.{self.name}.{what}.{os.getpid()}"
+
+    def add(self, b: pa.RecordBatch) -> None:
+        cu = b.column("cu_seqlens")
+        ends = self.at + np.cumsum(np.asarray(pc.list_value_length(cu), np.int64))
+        for what in ("ids", "positions"):
+            self.open[what].write(b"".join(b.column(what).to_pylist()))
+        self.open["cu"].write(np.asarray(pc.list_flatten(cu), "<i4").tobytes())
+        self.open["cu_at"].write(ends.astype("<i8").tobytes())
+        self.rows, self.at = self.rows + len(b), int(ends[-1])
+
+    def done(self) -> pa.RecordBatch:
+        for what, f in self.open.items():
+            f.close()
+            self.fs.move(self.path(what), f"{self.root}/{self.name}.{what}")
+        return pa.record_batch([pa.array([self.group], pa.int32()), pa.array([self.rows], pa.int64()), pa.array([self.name])], ["pack_group", "rows", "name"])
+
+
 def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """Write each group's ids, positions, cumulative lengths and their offsets as raw files in folder.
 
@@ -185,19 +213,16 @@ def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        for b in runs_of(batches, ["pack_group"]):
-            name = f"group-{b.column('pack_group')[0].as_py():08d}"
-            cu = b.column("cu_seqlens")
-            at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(cu), np.int64))])
-            for what, data in (
-                ("ids", b"".join(b.column("ids").to_pylist())),
-                ("positions", b"".join(b.column("positions").to_pylist())),
-                ("cu", np.asarray(pc.list_flatten(cu), "<i4").tobytes()),
-                ("cu_at", at.astype("<i8").tobytes()),
-            ):
-                with fs.open_output_stream(f"{root}/.{name}.{what}.{os.getpid()}") as f:
-                    f.write(data)
-                fs.move(f"{root}/.{name}.{what}.{os.getpid()}", f"{root}/{name}.{what}")
-            yield pa.record_batch([b.column("pack_group").slice(0, 1), pa.array([len(b)], pa.int64()), pa.array([name])], ["pack_group", "rows", "name"])
+        held: _Files | None = None
+        for b in batches:
+            g = np.asarray(b.column("pack_group"))
+            for lo, hi in itertools.pairwise([*np.flatnonzero(np.append(True, g[1:] != g[:-1]))[: len(g)], len(g)]):
+                if held is None or held.group != g[lo]:
+                    if held is not None:
+                        yield held.done()
+                    held = _Files(fs, root, int(g[lo]))
+                held.add(b.slice(lo, hi - lo))
+        if held is not None:
+            yield held.done()
 
     return rows.mapInArrow(run, "pack_group int, rows bigint, name string")
