@@ -201,6 +201,12 @@ FLAGS = ("agriculture", "reusable", "person_specific", "identity_lookup", "conta
 LABELS = "array<struct<" + ",".join(f"{f}:boolean" for f in FLAGS) + ",reason:string>>"
 
 
+def label_prompt(place: str | Column = "place", question: str | Column = "question", positive: str | Column = "positive") -> Column:
+    """A pair as it stands in the prompt for labels."""
+    c = lambda x: F.coalesce((F.col(x) if isinstance(x, str) else x).cast("string"), F.lit(""))
+    return F.concat(F.lit("\nPair "), c(place), F.lit("\n\nQuestion:\n"), c(question), F.lit("\n\nPassage:\n"), c(positive), F.lit("\n"))
+
+
 def label_batches(pairs: DataFrame, order: list[str], client: Client, prompt: Column, size: int = 50, retry: Retry | None = None) -> DataFrame:
     """pairs with their flags and llm_reason. Rows are sent in batches of size in order; a batch's
     answer is a JSON list with one label for each row, in order, to which rows are joined by position.

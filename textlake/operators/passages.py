@@ -55,6 +55,11 @@ def rechunk_large(chunks_: DataFrame, over: int = 400, max_words: int = MAX_WORD
     return out.select(*rest, F.col("__chunk.text").alias("chunk_text"), name.alias("chunk_id"), F.col("__chunk.words").alias("word_count"), F.col("__chunk.chars").alias("char_count"))
 
 
+def described(chunks_: DataFrame, language: str, domain: str, source: str) -> DataFrame:
+    """The chunks with what is the same for all of them."""
+    return chunks_.withColumns({"language": F.lit(language), "domain": F.lit(domain), "source": F.lit(source)})
+
+
 def in_order(chunks_: DataFrame, id: str = "document_id") -> DataFrame:  # noqa: A002
     """The chunks by document and place, as a written table has them: a sort by ranges, not in one task."""
     return chunks_.orderBy(id, "chunk_index")

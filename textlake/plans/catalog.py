@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textlake.functions import chunks, clean, html, urls
 from textlake.functions.pytext import COLLAPSE, DIGIT, contains_any_sql, literal, strip, strip_sql, words_sql
 from textlake.operators import dedup, ir, passages, profile, retrieval, rules
-from textlake.operators.model_calls import as_messages, generated_pairs
+from textlake.operators.model_calls import as_messages, generate_questions, generated_pairs, label_batches, label_prompt, question_prompt, to_json
 from textlake.sources import readers, writers
 from textlake.sources.folders import scratch
 from textlake.sources.readers import spread
@@ -566,6 +566,66 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+@query("SELECT 'd' || doc_id AS chunk_id, chr(10) || 'Chunk ID: d' || doc_id || chr(10) || chr(10) || 'Title:' || chr(10) || coalesce(source, '') || chr(10) || chr(10) || 'Passage:' || chr(10) || coalesce(text, '') || chr(10) AS prompt FROM documents")
+def question_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("chunk_text"))
+    return docs.select("chunk_id", question_prompt().alias("prompt"))
+
+
+@query(_PAIRS + "SELECT conv_id, turn, chr(10) || 'Pair ' || turn || chr(10) || chr(10) || 'Question:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'Passage:' || chr(10) || coalesce(positive, '') || chr(10) AS prompt FROM pairs")
+def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("conv_id", "turn", label_prompt("turn").alias("prompt"))
+
+
+def _three_questions(prompts: list[str]) -> list[str]:
+    """A client that asks three questions of each passage, the same twice; for odd numbers two only."""
+    out = []
+    for p in prompts:
+        ids = [line[10:] for line in p.split("\n") if line.startswith("Chunk ID: ")]
+        out.append("```json\n" + to_json([{"chunk_id": i, "questions": [f" what is {i}", "why ", "why", *(["who"] if int(i[1:]) % 2 == 0 else [])]} for i in ids]) + "\n```")
+    return out
+
+
+@query(f"SELECT 'd' || doc_id AS chunk_id, q AS question, text AS positive FROM documents, (VALUES ('what is d'), ('why'), ('who')) t(w), LATERAL (SELECT CASE WHEN w = 'what is d' THEN w || doc_id ELSE w END AS q) WHERE doc_id % 2 = 0 AND len({words_sql('text')}) >= 40 AND NOT {contains_any_sql(chr(39) + chr(39) + ' || coalesce(source, ' + chr(39) + chr(39) + ')', urls.FAQ)}")
+def question_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.col("source").alias("title"), F.col("text").alias("chunk_text"))
+    pairs, _ = generate_questions(docs, _three_questions, ["doc_id"])
+    return pairs.select("chunk_id", "question", "positive")
+
+
+def _even_numbers(prompts: list[str]) -> list[str]:
+    """A client that labels lines that are numbers."""
+    return [to_json([{"agriculture": int(line) % 2 == 0, "reason": f"n{line}"} for line in p.split("\n")]) for p in prompts]
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 50)::INT AS batch_id, doc_id % 2 = 0 AS agriculture, false AS reusable, 'n' || doc_id AS llm_reason FROM documents")
+def labels_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return label_batches(docs, ["doc_id"], _even_numbers, F.col("doc_id").cast("string")).select("doc_id", "batch_id", "agriculture", "reusable", "llm_reason")
+
+
+@query(_CHUNKS + "SELECT chunk_id, 'hi' AS language, 'farming' AS domain, 'site' AS source FROM made")
+def passage_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = passages.chunk_documents(_prepared(spark, sf_dir), "text", "doc_id")
+    return passages.described(made, "hi", "farming", "site").select("chunk_id", "language", "domain", "source")
+
+
+@query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 10")
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.head(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 10, ["doc_id"])
+
+
+@query(ORACLE_SQL["near_duplicates"] + " ORDER BY similarity DESC, split, query_id, corpus_id LIMIT 10")
+def near_duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar, as the report shows them."""
+    return retrieval.most_similar(near_duplicates(spark, sf_dir), 10)
+
+
+@query(f"SELECT upper(metric) AS metric, printf('%.4f', base) AS base, printf('%.4f', tuned) AS tuned, printf('%.4f', absolute_gain) AS absolute_gain, coalesce(printf('%.2f', relative_gain) || '%', 'N/A') AS relative_gain FROM ({ORACLE_SQL['metric_gain']})")
+def comparison_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ir.shown(metric_gain(spark, sf_dir))
+
+
 # readers and writers: what is written and read again is the table itself
 
 _DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
