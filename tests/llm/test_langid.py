@@ -199,5 +199,40 @@ def test_limits_are_the_plain_ones():
     z = (ce - mean) / np.sqrt(model.var_char[0] / n + model.var_text[0] + 1e-9)
     assert np.isclose(model.limit[0], max(8, 1.5 * np.quantile(z, langid.CLEAN)), rtol=1e-2)
     assert np.isclose(model.ceiling[0], max(3 * mean, 1.5 * np.quantile(ce, langid.CLEAN)), rtol=1e-2)
+    assert np.isclose(model.near[0], (mean + np.median([bits(t) for t in langid.shuffled(held)])) / 2, rtol=1e-4)
     found = langid.decide(model, pa.array(["the cat sat", "qqqq xxxx zzzz qqqq xxxx zzzz qqqq"]))
     assert found["ok"].tolist() == [True, False] and np.isclose(found["bits_per_char"][0], bits("the cat sat"), rtol=1e-4)
+
+
+def test_shuffled_letters():
+    texts = ["The cat, sat!", "", "ab 12 é"]
+    found = langid.shuffled(texts)
+    assert [sorted(t) for t in found] == [sorted(t) for t in ("the cat sat", "", "ab é")] and [list(map(len, t.split())) for t in found] == [[3, 3, 3], [], [2, 1]]
+
+
+def test_texts_that_are_partly_junk_stay(spark, sf):
+    import random
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars > 1000").select("text").distinct().collect()
+    good, r = sorted(x.text for x in docs), random.Random(2)
+    model = langid.fit({"en": good[::2]}, {"en": good[1::2]})
+    junk = lambda n: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n))
+    part = [f"{t[:1000]} {junk(30)}" for t in good[1::2]]  # a sixth of it
+    assert langid.decide(model, pa.array(part))["ok"].all()
+    assert not langid.decide(model, pa.array([junk(150) for _ in range(20)]))["ok"].any()
+
+
+def test_unknown_languages_are_rejected():
+    """Each of the languages by the models of the three others."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text", "lang"])
+    by = {}
+    for lang, text in zip(*(t.column(c).to_pylist() for c in ("lang", "text"))):
+        if len(text) > 300 and len(by.setdefault(lang, [])) < 300:
+            by[lang].append(text)
+    for out in by:
+        known = {k: x for k, x in by.items() if k != out}
+        model = langid.fit({k: x[:150] for k, x in known.items()}, {k: x[150:] for k, x in known.items()})
+        assert langid.decide(model, pa.array(by[out]))["ok"].mean() < 0.1
+        assert all(langid.decide(model, pa.array(x))["ok"].mean() > 0.98 for x in known.values())

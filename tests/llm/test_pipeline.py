@@ -44,12 +44,17 @@ def languages(rows, hashes):
         var_text = (1.4826 * np.median(abs(ce - mean))) ** 2
         z = (ce - mean) / np.sqrt(var_char / n + var_text + 1e-9)
         limits[lang] = mean, var_char, var_text, max(8, 1.5 * np.quantile(z, langid.CLEAN)), max(3 * mean, 1.5 * np.quantile(ce, langid.CLEAN))
+    calibrated = {lang: [words(t) for t in held[lang] or texts[lang] if words(t)] for lang in texts}
+    for lang in texts:
+        noise = [t for t in langid.shuffled(held[lang] or texts[lang]) if t]
+        least = min(np.median([bits[lang](t) for t in (noise if other == lang else calibrated[other])]) for other in texts)
+        limits[lang] = (limits[lang][0] + least) / 2, *limits[lang]
     for t in {r["text"] for r in rows}:
         out[t] = None
         if words(t):
             ce, lang = min((bits[lang](words(t)), lang) for lang in bits)
-            mean, var_char, var_text, limit, ceiling = limits[lang]
-            if (ce - mean) / math.sqrt(var_char / (len(words(t)) + 1) + var_text + 1e-9) <= limit and ce <= ceiling:
+            near, mean, var_char, var_text, limit, ceiling = limits[lang]
+            if (ce <= near or (ce - mean) / math.sqrt(var_char / (len(words(t)) + 1) + var_text + 1e-9) <= limit) and ce <= ceiling:
                 out[t] = lang
     return out
 
