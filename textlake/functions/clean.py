@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textlake.functions.pytext import COLLAPSE, DEVANAGARI, DIGIT, NOT_WORD_DEVANAGARI_WS, STRIP, WS, Steps, col, literal, strip, strip_sql, words, words_sql
+from textlake.functions.pytext import COLLAPSE, DEVANAGARI, DIGIT, NOT_WORD_DEVANAGARI_WS, RUNS, STRIP, WS, Steps, col, literal, strip, strip_sql, words, words_sql
 
 NAVIGATION = "Back|Next|अगला|अधिक जानकारी|ईमेल|ट्विटर|पिछला|प्रिंट|फेसबुक|मुख्य पृष्ठ|साझा करें|होम|होम पेज"
 GARBAGE = "[\\x{FFFD}\\x{25A0}\\x{25A1}\\x{25C6}\\x{25FB}\\x{25FC}]"
@@ -18,7 +18,7 @@ def _passage(site: str = SITE) -> Steps:
     out = Steps().regex("[\\x{200C}\\x{200D}\\x{FEFF}]")
     for text in NAVIGATION.split("|"):
         out = out.plain(text, " ")
-    out = out.regex(f"{WS}+", " ").regex("[.]{2,}", ".").regex("।{2,}", "।")
+    out = out.regex(RUNS, " ").regex("[.]{2,}", ".").regex("।{2,}", "।")
     out = out.regex(rf"(?i)\|\s*{site}")
     out = out.regex("स्(?:त्)?रोत *[:：][^।]*").regex("लेख[कन] *[:：].*")
     return out.regex("इस +(?:पृष्ठ|भाग|लेख) +में.*?जानकारी +दी +(?:गई|गयी|है)।?").then(STRIP)

@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_NO_SPACE = r"\x09-\x0D\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WS = rf"\x20{_NO_SPACE}"
 WS = f"[{_WS}]"  #: what str.isspace calls white space
+RUNS = f" {WS}+|[{_NO_SPACE}]{WS}*"  #: all runs of white space but those that are one space already
 DIGIT = r"\p{Nd}"
 NOT_WORD_DEVANAGARI_WS = rf"[^\p{{L}}\p{{N}}_\x{{0900}}-\x{{097F}}{_WS}]"
 DEVANAGARI = r"[\x{0900}-\x{097F}]"
@@ -37,7 +39,8 @@ def literal(text: str) -> str:
 class Steps:
     """An ordered list of replacements: (pattern, replacement) pairs, plain where is_plain says so.
 
-    apply gives the Spark expression, sql the same for DuckDB. Groups are written \\1.
+    apply gives the Spark expression, sql the same for DuckDB. Groups are written \\1. trim takes
+    plain spaces off the ends, where no other white space can be.
     """
 
     steps: tuple[tuple[str, str, bool], ...] = ()
@@ -48,29 +51,32 @@ class Steps:
     def plain(self, text: str, by: str = "") -> Steps:
         return Steps((*self.steps, (text, by, True)))
 
+    def trim(self) -> Steps:
+        return self.plain("", "")
+
     def then(self, other: Steps) -> Steps:
         return Steps(self.steps + other.steps)
 
     def apply(self, c: str | Column) -> Column:
         out = F.coalesce(col(c).cast("string"), F.lit(""))
         for pattern, by, plain in self.steps:
-            out = F.replace(out, F.lit(pattern), F.lit(by)) if plain else F.regexp_replace(out, pattern, by.replace("\\", "$"))
+            out = (F.replace(out, F.lit(pattern), F.lit(by)) if pattern else F.trim(out)) if plain else F.regexp_replace(out, pattern, by.replace("\\", "$"))
         return out
 
     def sql(self, expression: str) -> str:
         out = f"coalesce({expression}, '')"
         for pattern, by, plain in self.steps:
-            out = f"replace({out}, {literal(pattern)}, {literal(by)})" if plain else f"regexp_replace({out}, {literal(pattern)}, {literal(by)}, 'g')"
+            out = (f"replace({out}, {literal(pattern)}, {literal(by)})" if pattern else f"trim({out}, ' ')") if plain else f"regexp_replace({out}, {literal(pattern)}, {literal(by)}, 'g')"
         return out
 
 
-STRIP = Steps().regex(rf"^{WS}+").regex(rf"{WS}+$")
-COLLAPSE = Steps().regex(rf"{WS}+", " ").then(STRIP)
+STRIP = Steps().regex(rf"^{WS}+|{WS}+$")
+COLLAPSE = Steps().regex(RUNS, " ").trim()
 
 
 def strip(c: str | Column) -> Column:
     """c without white space at its ends; null stays null."""
-    return F.regexp_replace(F.regexp_replace(col(c), rf"^{WS}+", ""), rf"{WS}+$", "")
+    return F.regexp_replace(col(c), rf"^{WS}+|{WS}+$", "")
 
 
 def strip_sql(e: str) -> str:
