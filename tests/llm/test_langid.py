@@ -236,3 +236,14 @@ def test_unknown_languages_are_rejected():
         model = langid.fit({k: x[:150] for k, x in known.items()}, {k: x[150:] for k, x in known.items()})
         assert langid.decide(model, pa.array(by[out]))["ok"].mean() < 0.1
         assert all(langid.decide(model, pa.array(x))["ok"].mean() > 0.98 for x in known.values())
+
+
+@pytest.mark.parametrize("numbers", [0, 30, 1 << 20])
+def test_known_words_have_the_same_figures(numbers):
+    model = langid.fit(TEXTS, {})
+    known = langid.Known(model, numbers)
+    for texts in (["the cat", "der hund", None], ["", "cat dog the", "x y"], ["the the the"], []):
+        ce, n = langid.score(model, pa.array(texts, pa.string()), known)
+        plain_ce, plain_n = langid.score(model, pa.array(texts, pa.string()))
+        assert (ce == plain_ce).all() and (n == plain_n).all()
+    assert len(known.units) <= numbers // 3

@@ -171,10 +171,35 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(model: Model, col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """Figures of words seen before, up to so many numbers; words come again and again."""
+
+    def __init__(self, model: Model, numbers: int = 1 << 20) -> None:
+        self.model, self.most = model, numbers // (len(model.languages) + 1)
+        self.units = pa.array([], pa.large_string())
+        self.bits, self.chars = np.zeros((0, len(model.languages))), np.zeros(0, np.int64)
+
+    def of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bits by language and characters of distinct units."""
+        at = np.asarray(pc.fill_null(pc.index_in(units, self.units), -1), np.int64)
+        new = np.flatnonzero(at < 0)
+        fresh = units.take(pa.array(new))
+        b, _, c = _score_units(self.model, fresh)
+        bits, chars = np.empty((len(units), b.shape[1])), np.empty(len(units), np.int64)
+        old = at >= 0
+        bits[old], chars[old] = self.bits[at[old]], self.chars[at[old]]
+        bits[new], chars[new] = b, c
+        room = self.most - len(self.units)
+        if room > 0 and len(new):
+            self.units = pa.concat_arrays([self.units, fresh[:room]])
+            self.bits, self.chars = np.concatenate([self.bits, b[:room]]), np.concatenate([self.chars, c[:room]])
+        return bits, chars
+
+
+def score(model: Model, col: pa.Array | pa.ChunkedArray, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bits per character by language (inf without letters), and the characters predicted."""
     units, pieces, off = spaced_units(letters(col))
-    bits, _, chars = _score_units(model, units)
+    bits, chars = (known or Known(model, 0)).of(units)
     n = _sums(chars[pieces], off)
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(n[:, None] > 0, _sums(bits[pieces], off) / n[:, None], np.inf), n
@@ -223,9 +248,9 @@ def _calibrate(model: Model, held_out: dict[str, list[str]], texts: dict[str, li
     return model
 
 
-def decide(model: Model, col: pa.Array | pa.ChunkedArray) -> dict[str, np.ndarray]:
+def decide(model: Model, col: pa.Array | pa.ChunkedArray, known: Known | None = None) -> dict[str, np.ndarray]:
     """lang, bits_per_char, margin to the runner-up and deviation, one of each per text."""
-    ce, n = score(model, col)
+    ce, n = score(model, col, known)
     best = ce.argmin(1)  # ties: the first language in alphabetical order
     row = np.arange(len(best))
     low = ce[row, best]
@@ -304,12 +329,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for b in parts(batches):
             if shared.value is None:
                 none = pa.nulls(len(b), pa.float64())
                 yield pa.record_batch([b.column("doc_id"), pa.array([UNKNOWN] * len(b)), none, none, none], ["doc_id", "lang", "bits_per_char", "margin", "deviation"])
                 continue
-            d = decide(shared.value, b.column("text"))
+            known = known or Known(shared.value)
+            d = decide(shared.value, b.column("text"), known)
             figures = [pa.array(np.where(np.isfinite(d[k]), d[k], np.nan), from_pandas=True) for k in ("bits_per_char", "margin", "deviation")]
             yield pa.record_batch([b.column("doc_id"), pa.array(d["lang"], pa.string()), *figures], ["doc_id", "lang", "bits_per_char", "margin", "deviation"])
 
@@ -329,11 +356,13 @@ def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for b in parts(batches):
             if shared.value is None:
                 yield b.slice(0, 0)
                 continue
-            d = decide(shared.value, b.column("text"))
+            known = known or Known(shared.value)
+            d = decide(shared.value, b.column("text"), known)
             at = b.schema.get_field_index("lang")
             yield b.set_column(at, b.schema.field(at), pa.array(d["lang"], b.schema.field(at).type)).filter(pa.array(d["ok"]))
 
