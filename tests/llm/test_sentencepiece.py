@@ -87,3 +87,13 @@ def test_edges_are_found(depth):
     known = {x: k for k, x in enumerate(spots)}
     i, k = np.array(every).T
     assert edges.find(i, k).tolist() == [known.get(x, -1) for x in every]
+
+
+@pytest.mark.parametrize("characters", [0, 40, 1 << 20])
+def test_known_units_have_the_same_ids(characters):
+    p = sa.pieces(sa.MODEL)
+    known = sa.Known(p, characters)
+    for texts in (["the theatre", None, "a  b"], ["", "the new theatre ▁ 😀", "the"], [], [prose(1, 300)], [prose(1, 300), prose(2, 300)]):
+        ids, off = sa.encode(pa.array(texts, pa.string()), p, known)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == SP.encode([t or "" for t in texts])
+    assert sum(map(len, known.units.to_pylist())) <= characters

@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with suffix-array matching.
 
-A batch's texts are cut where no piece can reach across (before spaces), and the distinct units are
-laid end to end. A suffix array of that text is built to the depth of the longest piece; every piece
+A batch's texts are cut where no piece can reach across (before spaces), and the distinct units that
+the task has not met before are laid end to end. A suffix array of that text is built to the depth of the longest piece; every piece
 is found in it by binary search, which gives its range of occurrences. The occurrences are edges
 from a position over a length; they are sorted by position and length and then relaxed.
 
@@ -269,13 +269,40 @@ def encode_units(units: pa.Array, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
-def encode(col: pa.Array | pa.ChunkedArray, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+class Known:
+    """The ids of units encoded before, up to so many characters; words come again and again."""
+
+    def __init__(self, p: Pieces, characters: int = 1 << 22) -> None:
+        self.p, self.room = p, characters
+        self.units = pa.array([], pa.large_string())
+        self.ids, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def of(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all (distinct) units end to end, and their offsets."""
+        at = np.asarray(pc.fill_null(pc.index_in(units, self.units), -1), np.int64)
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        fresh = units.take(pa.array(new))
+        ids, off = encode_units(fresh, self.p)
+        start, n = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        start[old], n[old] = self.off[at[old]], np.diff(self.off)[at[old]]
+        start[new], n[new] = off[:-1] + len(self.ids), np.diff(off)
+        out = np.concatenate([self.ids, ids])[take_ranges(start, n)]
+        size = np.cumsum(np.asarray(pc.utf8_length(fresh), np.int64))
+        more = int(np.searchsorted(size, self.room, "right"))
+        if more:
+            self.room -= int(size[more - 1])
+            self.units = pa.concat_arrays([self.units, fresh[:more]])
+            self.ids, self.off = np.concatenate([self.ids, ids[: off[more]]]), np.concatenate([self.off, off[1 : more + 1] + self.off[-1]])
+        return out, np.concatenate([[0], np.cumsum(n)])
+
+
+def encode(col: pa.Array | pa.ChunkedArray, p: Pieces, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and their offsets; null and empty texts have none."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = pc.replace_substring(pc.fill_null(col.cast(pa.large_string()), ""), _SPACE, " ")  # as the model's normaliser would
     units, seq, off = spaced_units(col)
-    ids, at = encode_units(units, p)
+    ids, at = known.of(units) if known else encode_units(units, p)
     n = np.diff(at)[seq]
     total = np.concatenate([[0], np.cumsum(n)])
     return ids[take_ranges(at[seq], n)], total[off]
@@ -328,9 +355,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
+        known = Known(p)
         for whole in batches:
-            for b in slices(whole, size=6_000_000):
-                ids, off = encode(b.column("text"), p)
+            for b in slices(whole, size=4_000_000):
+                ids, off = encode(b.column("text"), p, known)
                 out = decode(ids, off, p)
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off), pa.int32()), _lists(ids, off), out.cast(pa.string())], ["doc_id", "n_pieces", "ids", "decoded"])
 
