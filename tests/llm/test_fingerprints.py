@@ -119,3 +119,72 @@ def test_alignment_can_be_replayed(seed):
         out += a[at:i] + b[k:n]
         at = j
     assert out + a[at:] == b
+
+
+def brute_bases(rows):
+    """root: (base, its root) of rows (doc_id, text), by looking at all texts before each one."""
+    least, texts = {}, {}
+    for d, x in rows:
+        if x is not None:
+            root = brute(x)[0]
+            texts[root] = x
+            least[root] = min((i for i in (least.get(root), d) if i is not None), default=None)
+    order = sorted(texts, key=lambda root: (least[root] is None, least[root] or 0, root))
+    out = {}
+    for at, root in enumerate(order):
+        votes = {}
+        for p in {x for x in texts[root].split("\n") if x.strip(" ")}:
+            to = next((k for k in range(at - 1, -1, -1) if least[order[k]] is not None and p in texts[order[k]].split("\n")), None)
+            if to is not None:
+                votes[to] = votes.get(to, 0) + 1
+        if votes:
+            to = max(votes, key=lambda k: (votes[k], k))
+            out[root] = least[order[to]], order[to]
+    return out, texts
+
+
+def holds(spark, rows):
+    found = fp.compact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(found) == len(rows)
+    bases, texts = brute_bases(rows)
+    for x in found:
+        assert (x.base, x.base_root) == bases.get(x.root, (None, None))
+        if x.base_root is None:
+            assert x.edits is None
+        else:
+            b = texts[x.root].split("\n")
+            assert x.edits and replayed(texts[x.base_root].split("\n"), b, x.edits) == b
+    return found
+
+
+def test_compact_locates_edits(spark):
+    a = [f"line {k}" for k in range(1, 101)]
+    b = ["first", *a[1:99], "last"]
+    (_, x, y, z) = sorted(holds(spark, [(1, "\n".join(a)), (2, "\n".join(b)), (3, "\n".join(b)), (4, "alone")]))
+    assert [tuple(e) for e in x.edits] == [(1, 1, 1, 1), (100, 100, 100, 100)] and x.base == 1
+    assert (y.base, y.base_root, y.edits, y.same_as) == (1, x.base_root, x.edits, 2)
+    assert (z.base, z.base_root, z.edits, z.same_as) == (None, None, None, 4)
+
+
+def test_compact_against_all_earlier_texts(spark):
+    r = random.Random(8)
+    rows = [(d, x) for d, x, *_ in odd_rows()]
+    texts = [[r.choice(["", "  ", *(f"line {r.randrange(90)}" for _ in range(6))]) for _ in range(r.randrange(1, 30))] for _ in range(12)]
+    for _ in range(80):
+        x = list(r.choice(texts))
+        for _ in range(r.randrange(5)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randrange(2)] = [] if r.random() < 0.4 else [f"line {r.randrange(90)}", ""][: r.randrange(1, 3)]
+        if r.random() < 0.2:
+            x = x[len(x) // 2 :] + x[: len(x) // 2]  # paragraphs that moved
+        texts.append(x or [""])
+    rows += [(r.choice([None, *range(20, 90)]), "\n".join(x)) for x in texts]
+    found = holds(spark, rows)
+    assert sum(x.base is not None for x in found) > 60 and any(x.doc_id is None and x.base is not None for x in found)
+
+
+def test_a_paragraph_that_all_texts_share(spark):
+    n = 3000
+    found = fp.compact(spark.range(n).selectExpr("id AS doc_id", "concat('of all\\n', id) AS text")).collect()
+    assert {(x.doc_id, x.base) for x in found} == {(k, k - 1 if k else None) for k in range(n)}
+    assert all([tuple(e) for e in x.edits] == [(2, 2, 2, 2)] for x in found if x.doc_id)

@@ -54,7 +54,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compact(load(spark, sf_dir, "documents")).withColumn("sections", F.array_join("sections", ","))
+    places = F.transform("edits", lambda e: F.format_string("%d-%d:%d-%d", *[e[c] for c in ("old_from", "old_to", "new_from", "new_to")]))
+    return fingerprints.compact(load(spark, sf_dir, "documents")).withColumns({"sections": F.array_join("sections", ","), "edits": F.array_join(places, ",")})
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +75,51 @@ classes AS (SELECT d, min(r) AS class_id FROM reach GROUP BY d)
 SELECT vec_id, class_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links FROM embeddings JOIN classes ON vec_id = d
 """
 
-OP8_SQL = """
-WITH p AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS x FROM documents),
+def _aligned_sql(name: str, start: str) -> str:
+    """Tables of a recursive query: name holds (root, a, b, i, k, done) of start(root, a, b, i, k), where a
+    and b are lists that begin behind i and k elements; done are the ranges that differ.
+
+    A step takes equal elements off both ends, finds the longest rising row of elements that occur once
+    on either side (a chain of each length with the least end is kept), and goes on between these."""
+    same = "len(list_filter(range(1, least(len(a), len(b)) + 1), lambda t: a[{0}] = b[{1}]))"
+    once = "len(list_filter({0}, lambda z: z = a[x])) = 1"
+    return f"""{name} AS (
+  SELECT root, a, b, i, k, false AS done FROM {start}
+  UNION ALL
+  SELECT root, a[part.a + 1 : part.c - 1], b[part.b + 1 : part.d - 1], i + part.a, k + part.b, part.done FROM (
+    SELECT root, a, b, i, k, unnest(CASE WHEN len(chain) = 0 THEN [{{'a': 0, 'c': len(a) + 1, 'b': 0, 'd': len(b) + 1, 'done': true}}]
+      ELSE list_transform(range(0, len(chain) + 1), lambda q: {{'a': CASE WHEN q = 0 THEN 0 ELSE chain[q].x END, 'c': CASE WHEN q = len(chain) THEN len(a) + 1 ELSE chain[q + 1].x END,
+        'b': CASE WHEN q = 0 THEN 0 ELSE chain[q].y END, 'd': CASE WHEN q = len(chain) THEN len(b) + 1 ELSE chain[q + 1].y END, 'done': false}}) END) AS part FROM (
+      SELECT *, CASE WHEN len(pairs) = 0 THEN [] ELSE list_reduce(pairs, lambda kept, p: kept[1 : len(list_filter(kept, lambda c: c[-1].y < p[1][1].y))]
+          || [CASE WHEN len(list_filter(kept, lambda c: c[-1].y < p[1][1].y)) = 0 THEN [] ELSE kept[len(list_filter(kept, lambda c: c[-1].y < p[1][1].y))] END || p[1]]
+          || kept[len(list_filter(kept, lambda c: c[-1].y < p[1][1].y)) + 2 :])[-1] END AS chain FROM (
+        SELECT *, CASE WHEN len(a) > 0 AND len(b) > 0 THEN list_transform(list_filter(range(1, len(a) + 1), lambda x: {once.format("a")} AND {once.format("b")}), lambda x: [[{{'x': x, 'y': list_position(b, a[x])::BIGINT}}]]) ELSE [] END AS pairs FROM (
+          SELECT root, a[1 : len(a) - tail] AS a, b[1 : len(b) - tail] AS b, i, k FROM (
+            SELECT *, {same.format("len(a) - t + 1 :", "len(b) - t + 1 :")} AS tail FROM (
+              SELECT root, a[head + 1 :] AS a, b[head + 1 :] AS b, i + head AS i, k + head AS k FROM (SELECT *, {same.format("1 : t", "1 : t")} AS head FROM {name} WHERE NOT done)))
+          WHERE len(a) + len(b) > 2 * tail))))
+)"""
+
+
+OP8_SQL = f"""
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS x FROM documents),
 l AS (SELECT r, doc_id, x, list_transform(x, lambda s: sha256('P' || s)) AS leaf, len(x) AS n FROM p),
 e AS (SELECT *, list_filter(range(1, n + 1), lambda i: i = n OR trim(x[i], ' ') = '' OR leaf[i][1:1] = '0') AS ends FROM l),
-s AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda k: sha256('S' || array_to_string(leaf[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END : ends[k]], ''))) AS sections FROM e)
-SELECT doc_id, sha256('R' || array_to_string(sections, '')) AS root, len(sections)::INT AS n_sections, n::INT AS n_paragraphs, array_to_string(sections, ',') AS sections,
-  min(doc_id) OVER (PARTITION BY sha256('R' || array_to_string(sections, ''))) AS same_as FROM s
+s AS (SELECT *, list_transform(range(1, len(ends) + 1), lambda k: sha256('S' || array_to_string(leaf[CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END : ends[k]], ''))) AS sections FROM e),
+t AS (SELECT *, sha256('R' || array_to_string(sections, '')) AS root FROM s),
+texts AS (SELECT root, min(doc_id) AS id, any_value(x) AS x, any_value(leaf) AS leaf, any_value(ends) AS ends, any_value(sections) AS sections FROM t WHERE root IS NOT NULL GROUP BY root),
+held AS (SELECT DISTINCT root, id, h.p FROM (SELECT root, id, unnest(list_transform(list_filter(range(1, len(x) + 1), lambda i: trim(x[i], ' ') <> ''), lambda i: {{'p': leaf[i]}})) AS h FROM texts)),
+points AS (SELECT root, last_value(CASE WHEN id IS NOT NULL THEN {{'id': id, 'root': root}} END IGNORE NULLS) OVER (PARTITION BY p ORDER BY id NULLS LAST, root ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM held),
+ranked AS (SELECT root, b.id AS base, b.root AS base_root, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, b.id DESC, b.root DESC) AS k FROM points WHERE b IS NOT NULL GROUP BY root, b),
+bases AS (SELECT root, base, base_root FROM ranked WHERE k = 1),
+trees AS (SELECT z.root, o.sections AS a, z.sections AS b, 0::BIGINT AS i, 0::BIGINT AS k FROM bases JOIN texts z ON bases.root = z.root JOIN texts o ON base_root = o.root),
+{_aligned_sql("branches", "trees")},
+below AS (SELECT g.root, o.leaf[f.a + 1 : coalesce(o.ends[i + len(g.a)], 0)] AS a, z.leaf[f.b + 1 : coalesce(z.ends[k + len(g.b)], 0)] AS b, f.a AS i, f.b AS k FROM branches g JOIN bases ON g.root = bases.root
+  JOIN texts z ON g.root = z.root JOIN texts o ON base_root = o.root, LATERAL (SELECT {{'a': coalesce(o.ends[nullif(i, 0)], 0), 'b': coalesce(z.ends[nullif(k, 0)], 0)}} AS f) WHERE done),
+{_aligned_sql("places", "below")},
+edits AS (SELECT root, string_agg(format('{{}}-{{}}:{{}}-{{}}', i + 1, i + len(a), k + 1, k + len(b)), ',' ORDER BY i, k) AS edits FROM places WHERE done GROUP BY root)
+SELECT doc_id, t.root, len(sections)::INT AS n_sections, n::INT AS n_paragraphs, array_to_string(sections, ',') AS sections,
+  min(doc_id) OVER (PARTITION BY t.root) AS same_as, base, base_root, edits FROM t LEFT JOIN bases ON t.root = bases.root LEFT JOIN edits ON t.root = edits.root
 """
 
 OP9_SQL = sharding.assign_sql(SHARD_TREE, "documents", ["doc_id", "text", "lang", "source", "n_chars"])
