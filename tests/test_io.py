@@ -58,6 +58,23 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in readers.csv(spark, str(tmp_path / "p.csv"), "question string, positive string").collect()] == [("a\nb", None)]
 
 
+ODD = [" a", "a\t ", "\n", "\na\r", "a\r\nb", "\\", 'a\\"', '"', '""\n', '",', "\x00", 'a\x00,"\x00"', "#", "  ", "\x1fa\x0b", "NaN", "null"]
+
+
+@pytest.mark.parametrize("kind", ["csv", "bom", "batches"])
+def test_csv_keeps_every_character(spark, tmp_path, kind):
+    rows = [*enumerate(ODD), (97, ""), *([(98, None)] if kind != "bom" else [])]
+    df = spark.createDataFrame(rows, "i bigint, t string").repartition(2)
+    schema = "i bigint, t string"
+    if kind == "batches":
+        writers.batches(df.withColumn("batch_id", (F.col("i") % 3).cast("int")), str(tmp_path / kind))
+        schema += ", batch_id int"
+    else:
+        writers.csv(df, str(tmp_path / kind), bom=kind == "bom")
+    found = readers.csv(spark, str(tmp_path / kind), schema, keep_blanks=True, keep_nulls=True)
+    assert sorted((r.i, r.t) for r in found.collect()) == sorted(rows)
+
+
 def test_json_and_lines(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j/b-c.json").write_text('{\n"title": "t", "word_count": 3}')

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,13 +28,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def csv(spark: SparkSession, path: str, schema: str, keep_blanks: bool = False) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str, keep_blanks: bool = False, keep_nulls: bool = False) -> DataFrame:
     """CSV with a header, quoted fields over several lines, with or without a BOM. Blanks are null, or
-    empty texts if keep_blanks."""
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+    empty texts if keep_blanks; with keep_nulls too, those without quotes stay null."""
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"').option("mode", "PERMISSIVE")
     if not keep_blanks:
         return reader.csv(path)
-    df = reader.option("nullValue", "\x00none").option("emptyValue", "").csv(path)
+    df = reader.option("nullValue", uuid.uuid4().hex).option("emptyValue", "").csv(path)
+    if keep_nulls:
+        return df
     return df.select(*[F.coalesce(f.name, F.lit("")).alias(f.name) if f.dataType == T.StringType() else F.col(f.name) for f in df.schema.fields])
 
 

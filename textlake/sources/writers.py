@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Quotes are doubled, and white space at a text's ends is kept.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 BOM = "﻿"
 
 
 def csv(df: DataFrame, path: str, append: bool = False, bom: bool = False) -> None:
     """CSV with a header in each file; with a BOM before the first column's name if asked."""
     out = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if bom else df
-    out.write.mode("append" if append else "overwrite").option("header", True).option("escape", '"').option("quoteAll", bom).csv(path)
+    out.write.mode("append" if append else "overwrite").options(**_CSV).option("quoteAll", bom).csv(path)
 
 
 def routed(df: DataFrame, path: str, by: str, append: bool = False) -> None:
@@ -22,7 +24,7 @@ def routed(df: DataFrame, path: str, by: str, append: bool = False) -> None:
 
 def batches(df: DataFrame, path: str) -> None:
     """One folder of CSV files for each batch_id."""
-    df.repartition("batch_id").write.mode("overwrite").option("header", True).option("escape", '"').partitionBy("batch_id").csv(path)
+    df.repartition("batch_id").write.mode("overwrite").options(**_CSV).partitionBy("batch_id").csv(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
