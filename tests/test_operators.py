@@ -96,6 +96,12 @@ def test_batches(spark, monkeypatch, rows):
     assert {r.o: r.batch_id for r in dedup.assign_batches(df.repartition(5), 20, ["o"]).collect()} == {k: k // 20 for k in range(101)}
 
 
+def test_batches_of_long_tables_are_ranked_in_parts(spark):
+    found = dedup.assign_batches(spark.range(60_000).selectExpr("id * 7919 % 60000 AS o").repartition(5), 50, ["o"])
+    assert found.where("batch_id = floor(o / 50)").count() == 60_000
+    assert "aggregate(" in found._jdf.queryExecution().optimizedPlan().toString()  # each row is placed in one of several ranges
+
+
 def test_profile(spark):
     n = [1, 1, 2, 3, 5, 8, 8, 15, 30, 2000]
     df = spark.createDataFrame([(f"d{g}",) for g, c in enumerate(n) for _ in range(c)], "k string")

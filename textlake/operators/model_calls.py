@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,17 +95,18 @@ def map_prompts(df: DataFrame, prompt: str, client: Client, batch: int = 50, ret
     kept = df.drop("response", "error")
     schema = T.StructType([*kept.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for lo in range(0, len(frame), batch):
-                part = frame.iloc[lo : lo + batch].copy()
-                out, error = call(client, part[prompt].fillna("").tolist(), retry, (lambda k, x, part=part: check(x, part.iloc[k])) if check else None)
-                part["response"], part["error"] = out, error
-                yield part
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, len(b), batch):
+                part = b.slice(lo, batch)
+                rows = part.to_pandas() if check else None
+                out, error = call(client, [p or "" for p in part.column(prompt).to_pylist()], retry, (lambda k, x, rows=rows: check(x, rows.iloc[k])) if check else None)
+                added = [pa.array(out, pa.string()), pa.array([error] * len(part), pa.string())]
+                yield pa.record_batch([*part.columns, *added], [*part.schema.names, "response", "error"])
                 if pause:
                     retry.sleep(pause)
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def with_fallback(*clients: Client) -> Client:
