@@ -1,8 +1,10 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -164,6 +166,38 @@ def test_search_among_mixed_dimensions(spark, monkeypatch):
     assert {(x.query_id, x.corpus_id, x["rank"]) for x in retrieval.search(v, v, 3).collect()} == real
 
 
+@pytest.mark.parametrize("block", [100, 5000])
+def test_search_scores_as_sql_does(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieval, "_TILE", 90)
+    x = np.tile(np.random.default_rng(3).normal(size=(150, 64)).astype(np.float32), (5, 1))
+    x[50:60] *= np.float32(2.0**-60)  # shorter, but no other direction
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(6)
+    found = {}
+    for r in retrieval.search(v, v, 7).collect():
+        found.setdefault(r.query_id, []).append((-r.score, r.corpus_id))
+    y = x.astype(np.float64)
+    dot = lambda a, b: np.cumsum(a * b, axis=-1)[..., -1]
+    size = np.sqrt(dot(y, y))
+    for q in range(0, 750, 7):
+        s = dot(y[q], y) / (size[q] * size)
+        assert sorted(found[q]) == sorted(zip((-s).tolist(), range(750)))[:7]
+
+
+def test_search_holds_a_block_of_queries_and_its_best():
+    r = np.random.default_rng(4)
+    batch = lambda lo, n: pa.record_batch([pa.array(np.arange(lo, lo + n)), pa.array(list(r.normal(size=(n, 16)).astype(np.float32)), pa.list_(pa.float32()))], ["id", "v"])
+    queries = retrieval._vectors(batch(0, 3000))
+    peaks = []
+    for n in (5, 40):
+        tracemalloc.start()
+        [out] = retrieval._run(queries, (batch(2000 * k, 2000) for k in range(n)), 10, None)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(out) == 30_000
+    assert peaks[1] < 1.2 * peaks[0] < 120e6
+
+
 def test_most_similar(spark):
     found = spark.createDataFrame([("test", 1, 2, 0.5), ("valid", 3, 4, 0.9), ("test", 5, 6, 0.9)], "split string, query_id bigint, corpus_id bigint, similarity double")
     assert [r.query_id for r in retrieval.most_similar(found).collect()] == [5, 3, 1]

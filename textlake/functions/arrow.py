@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,3 +27,12 @@ def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
             held.append(b.slice(lo, hi - lo))
     if held:
         yield pa.concat_batches(held)
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the machine, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
